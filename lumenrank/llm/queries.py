@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embeddings, media, minhash, packing, quality, suffixes, toxicity, warc
+from . import common, embeddings, media, minhash, packing, quality, sentencepieces, suffixes, toolcalls, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.turns_as_calls(_table(spark, sf_dir, "conversations"))
+    linked = toolcalls.link(calls, results, {"reply": toolcalls.REPLY})
+    return linked.withColumn("errors", F.concat_ws("; ", "errors"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -62,18 +68,51 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = _table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
+    back = sentencepieces.decode(sentencepieces.encode(docs, path), path)
+    return back.select("doc_id", "n_ids", "ids_crc32", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_tool_call_linking": op3_tool_call_linking,
         "op4_toxicity": op4_toxicity,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_media_columns": op7_media_columns,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
+#: Linked calls of the dialogue turns. Rows are unique by (conv_id, turn) in the tables that SQL is run on.
+OP3_SQL = """
+WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+j AS (
+  SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn - 1) AS t, u.turn AS turn, a.turn AS result_turn,
+    u.text AS prompt, a.text AS content, EXISTS (SELECT 1 FROM u AS b WHERE b.conv_id = u.conv_id AND b.turn = u.turn - 2) AS dep
+  FROM u FULL OUTER JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+),
+e AS (
+  SELECT *, conv_id || ':' || t AS call_id, CASE WHEN length(prompt) < 100 THEN 'prompt: shorter than 100' ELSE '' END AS errors,
+    CASE WHEN result_turn IS NULL THEN 'null' ELSE '{"content":' || CAST(to_json(content) AS VARCHAR) || ',"turn":' || result_turn || '}' END AS res
+  FROM j
+)
+SELECT conv_id, call_id, turn, coalesce(turn, result_turn) AS topo_order, result_turn, CAST(result_turn IS NOT NULL AS BIGINT) AS n_results,
+  CASE WHEN turn IS NULL THEN 'orphan' WHEN result_turn IS NULL THEN 'open' ELSE 'linked' END AS status,
+  CASE WHEN turn IS NULL THEN NULL ELSE errors = '' END AS valid, CASE WHEN turn IS NULL THEN '' ELSE errors END AS errors,
+  CASE WHEN turn IS NULL THEN '{"id":"' || call_id || '","result":' || res || '}'
+    ELSE '{"arguments":{"prompt":' || CAST(to_json(prompt) AS VARCHAR) || ',"turn":' || turn || '},"depends_on":['
+      || CASE WHEN dep THEN '"' || conv_id || ':' || (turn - 2) || '"' ELSE '' END || '],"errors":['
+      || CASE WHEN errors = '' THEN '' ELSE '"' || errors || '"' END || '],"id":"' || call_id || '","name":"reply","result":' || res || '}' END AS json
+FROM e
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_tool_call_linking": OP3_SQL}
