@@ -2,11 +2,12 @@
 
 Two zstandard dictionaries are built from good and bad labelled texts. A text is cut into pieces of
 ``PIECE`` bytes (all of them), each is compressed with either dictionary, and the normalised difference of the sums,
-``(good - bad) / (good + bad)``, goes through a logistic calibration fitted on labelled texts that the
-dictionaries have not seen, weighted to the classes' true shares.
+``(good - bad) / (good + bad)``, goes, with the mean compressed share of the text's size, through a logistic calibration fitted on
+labelled texts that the dictionaries have not seen, weighted to the classes' true shares. The share tells texts that compress
+well with either dictionary, such as one word over and over.
 
 Bounds: at most ``PER_CLASS`` whole texts of each class are learned from, chosen by a hash of the text's row;
-class shares are counted over all labelled rows. Null text counts as empty; empty texts get the calibrated score of difference 0.
+class shares are counted over all labelled rows. Null text counts as empty; empty texts get the calibrated score of difference 0 and share one half.
 Repeated rows each get the same score, null ids pass through, other columns are not inputs. Without labels of both classes
 every score is the share of label 1 (0.5 without labels). No documents, no rows.
 """
@@ -81,17 +82,19 @@ class Scorer:
             d.precompute_compress(level=level)
             self._c.append(zstd.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def difference(self, text: str) -> float:
-        """Normalised compressed-size difference of the whole text, below 0 for good text."""
+    def sizes(self, text: str) -> tuple[float, float]:
+        """Normalised compressed-size difference of the whole text, below 0 for good text, and the mean compressed share."""
         pieces = _pieces(text)
+        if not pieces:
+            return 0.0, 0.5
         a, b = (sum(len(c.compress(p)) for p in pieces) for c in self._c)
-        return (a - b) / (a + b) if pieces else 0.0
+        return (a - b) / (a + b), (a + b) / (2 * sum(map(len, pieces)))
 
 
-def _inputs(d: np.ndarray) -> np.ndarray:
-    """Difference, and its parts beyond what mixed texts reach, so that either tail has a slope of its own."""
-    z = d * 20
-    return np.column_stack([z, np.maximum(z, 0), np.minimum(z + 1, 0)])
+def _inputs(x: np.ndarray) -> np.ndarray:
+    """Difference and the share's logarithm, each with its parts beyond bends, so that the tails have slopes of their own."""
+    z, share = x[:, 0] * 20, np.log(np.maximum(x[:, 1], 1e-3))
+    return np.column_stack([z, np.maximum(z, 0), np.minimum(z + 1, 0), share, np.minimum(share + 1.2, 0), np.minimum(share + 1.8, 0)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, seed: int = 9) -> Model:
@@ -103,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_clas
     half = {y: (by[y][::2], by[y][1::2]) for y in (0, 1)}
     good, bad = build_dictionary(half[1][0]), build_dictionary(half[0][0])
     s = Scorer(good, bad)
-    x = np.array([s.difference(t) for y in (0, 1) for t in half[y][1]])
+    x = np.array([s.sizes(t) for y in (0, 1) for t in half[y][1]])
     y = np.array([k for k in (0, 1) for _ in half[k][1]], float)
     share = np.where(y == 1, prior / max(1, len(half[1][1])), (1 - prior) / max(1, len(half[0][1])))
     beta = common.logistic(_inputs(x), y, share * len(y), ridge=0.05)
@@ -119,8 +122,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
         s = Scorer(model.good, model.bad) if model.beta else None
         for batch in common.slices(batches, text_col):
             if s:
-                d = np.array([s.difference(t) for t in common.texts(batch, text_col)])
-                p = common.sigmoid(np.column_stack([_inputs(d), np.ones(len(d))]) @ np.array(model.beta))
+                x = _inputs(np.array([s.sizes(t) for t in common.texts(batch, text_col)]))
+                p = common.sigmoid(np.column_stack([x, np.ones(len(x))]) @ np.array(model.beta))
             else:
                 p = np.full(batch.num_rows, model.prior)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, out_col])
