@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker takes at a time, whatever the size of an Arrow batch.
 SLICE_BYTES = 4 << 20
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or, where it is unset (tests), one of our own."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="lumenrank-")
-        spark.conf.set("spark.checkpoint.dir", conf)
+        app = spark.sparkContext.applicationId
+        conf = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lumenrank-"))
     return conf.rstrip("/")
 
 
