@@ -290,7 +290,7 @@ def register_parser(kind: str, parser: Callable) -> None:
 
 def parse_model(name: str, kind: str, definition, features: FeatureSet, feature_normalizers: dict | None = None) -> Model:
     if kind not in PARSERS:
-        raise ValueError(f"Unsupported LtrRanker format/type [{kind}]")
+        raise ValueError(f"Unsupported model format/type [{kind}]")
     ranker = PARSERS[kind](definition, features)
     return Model(name, features, ranker, {features.ordinal(f): n for f, n in normalizers.parse(feature_normalizers).items()})
 

@@ -100,3 +100,9 @@ def test_geo_nested_and_phrases(spark):
     assert set(scores(c, {"match_phrase": {"text": "a b"}})) == {1}
     assert set(scores(c, {"match_phrase": {"text": {"query": "a b", "slop": 1}}})) == {1, 2}
     assert set(scores(c, {"exists": {"field": "place"}})) == {1, 2}
+
+
+def test_postings(corpus):
+    some = {(r["doc_id"], r["term"]): (r["tf"], list(r["positions"])) for r in corpus.postings("text", ["dance", "cow"]).collect()}
+    every = {(r["doc_id"], r["term"]): (r["tf"], list(r["positions"])) for r in corpus.postings("text").collect()}
+    assert some == {(0, "cow"): (1, [4]), (2, "cow"): (1, [2]), (4, "dance"): (2, [1, 9])} and some.items() <= every.items() and len(every) > 20
