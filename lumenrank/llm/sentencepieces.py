@@ -28,7 +28,7 @@ from . import common
 CHUNK = 8192
 GIANT = 2 * CHUNK
 BLOCK = 64
-KEPT = 500_000
+KEPT = 200_000
 SPACE = "▁"
 NEVER = -np.inf
 
@@ -96,7 +96,7 @@ class Vocabulary:
             return True
         key = (a, b)
         if (known := self._fits.get(key)) is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             known = self._fits[key] = self._apart(a, b)
         return known
@@ -134,6 +134,42 @@ class Vocabulary:
                     break
         return last
 
+    def path(self, text: str) -> list[str]:
+        """The one path through text that starts and ends where all paths meet: longest pieces first, and back where none fits."""
+        end, ids, prefixes, known, fits = len(text), self.ids, self.prefixes, self._fits.get, self.fits
+
+        def ends(i: int) -> list[int]:
+            out = [i + 1]
+            for j in range(i + 2, min(end, i + self.longest) + 1):
+                t = text[i:j]
+                if t in ids:
+                    out.append(j)
+                elif t not in prefixes:
+                    break
+            return out
+
+        out: list[str] = []
+        dead: set[tuple[int, str]] = set()
+        i, last, open_ = 0, None, [ends(0)]
+        while i < end:
+            options = open_[-1]
+            while options:
+                j = options.pop()
+                t = text[i:j]
+                ok = known((last, t))
+                if (fits(last, t) if ok is None else ok) and (not dead or (j, t) not in dead):
+                    out.append(t)
+                    i, last = j, t
+                    open_.append(ends(i) if i < end else [])
+                    break
+            else:
+                open_.pop()
+                t = out.pop()
+                dead.add((i, t))
+                i -= len(t)
+                last = out[-1] if out else None
+        return out
+
     def trace(self, last: dict[int, str], start: int, end: int) -> list[str]:
         out = []
         while end > start:
@@ -159,7 +195,7 @@ class Vocabulary:
         for s in parts:
             if (got := self._new.get(s)) is None:
                 if (got := self._old.get(s)) is None:
-                    got = np.array(self.to_ids(self.trace(self.last_pieces(s, 0, len(s), None), 0, len(s))), "<i4").tobytes()
+                    got = np.array(self.to_ids(self.path(s)), "<i4").tobytes()
                 if len(s) < 64:
                     if len(self._new) >= KEPT:
                         self._old, self._new = self._new, {}
@@ -271,7 +307,7 @@ def _chunk_of(v: Vocabulary, r: dict) -> Chunk:
     return Chunk(v, r["text"], r["start"], r["end"], r["chunk"] == 0, r["chunk"] == r["chunks"] - 1)
 
 
-CHUNKS = "key string, block int, chunk int, chunks int, text string, start int, end int"
+CHUNKS = "doc_id long, key string, block int, chunk int, chunks int, text string, start int, end int"
 
 
 def _split(vocabulary: str, size: int):
@@ -279,14 +315,14 @@ def _split(vocabulary: str, size: int):
         v = load(vocabulary)
         for batch in common.slices(batches, "text"):
             out = []
-            for key, text in zip(batch.column("key").to_pylist(), common.texts(batch, "text")):
+            for i, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), common.texts(batch, "text")):
                 text = v.lay(text)
                 n = max(1, len(text) // size)
                 for c in range(n):
                     a, b = c * size, len(text) if c == n - 1 else (c + 1) * size
                     lo, hi = max(0, a - v.longest), min(len(text), b + v.longest)
-                    out.append((key, c // BLOCK, c, n, text[lo:hi], a - lo, b - lo))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()))], names=[f.split()[0] for f in CHUNKS.split(", ")])
+                    out.append((i, key, c // BLOCK, c, n, text[lo:hi], a - lo, b - lo))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()))], names=[f.split()[0] for f in CHUNKS.split(", ")])
 
     return run
 
@@ -303,7 +339,7 @@ def _matrices(vocabulary: str):
 
 def _combine(table: pa.Table) -> pa.Table:
     """The product of a block's matrices."""
-    rows = sorted(zip(table.column("chunk").to_pylist(), table.column("m").to_pylist()))
+    rows = sorted(dict(zip(table.column("chunk").to_pylist(), table.column("m").to_pylist())).items())
     m = _unpack(rows[0][1])
     for _, x in rows[1:]:
         m = times(m, _unpack(x))
@@ -340,7 +376,7 @@ def _top(table: pa.Table) -> pa.Table:
 
 def _inside(left: pa.Table, right: pa.Table) -> pa.Table:
     """States at the borders of a block's chunks."""
-    rows = sorted(zip(left.column("chunk").to_pylist(), left.column("m").to_pylist()))
+    rows = sorted(dict(zip(left.column("chunk").to_pylist(), left.column("m").to_pylist())).items())
     s = _path([_unpack(m) for _, m in rows], right.column("entry")[0].as_py(), right.column("exit")[0].as_py())
     return pa.table({"key": pa.array([left.column("key")[0].as_py()] * len(rows), pa.string()), "chunk": pa.array([c for c, _ in rows], pa.int32()), "entry": pa.array(s[:-1], pa.int32()), "exit": pa.array(s[1:], pa.int32())})
 
@@ -350,29 +386,37 @@ def _trace(vocabulary: str):
         v = load(vocabulary)
         for batch in common.slices(batches, "text"):
             ids = [_chunk_of(v, r).ids(r["entry"], r["exit"]) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(ids, pa.binary())], names=["key", "chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "chunk")), pa.array(ids, pa.binary())], names=["doc_id", "key", "chunk", "ids"])
 
     return run
 
 
 def _join_ids(table: pa.Table) -> pa.Table:
-    rows = sorted(zip(table.column("chunk").to_pylist(), table.column("ids").to_pylist()))
-    return pa.table({"key": table.column("key")[:1], "ids": pa.array([b"".join(x for _, x in rows)], pa.binary())})
+    """A document's ids, once for each row that it was given in."""
+    chunk = table.column("chunk").to_pylist()
+    ids = b"".join(x for _, x in sorted(dict(zip(chunk, table.column("ids").to_pylist())).items()))
+    n = chunk.count(0)
+    return pa.table({"doc_id": pa.array([table.column("doc_id")[0].as_py()] * n, pa.int64()), "ids": pa.array([ids] * n, pa.binary())})
+
 
+def encode_giants(docs: DataFrame, vocabulary: str, size: int = CHUNK) -> DataFrame:
+    """(doc_id, ids as little-endian 32-bit integers) of ``docs(doc_id, text)``, by the scan over chunks.
 
-def encode_giants(texts: DataFrame, vocabulary: str, size: int = CHUNK) -> DataFrame:
-    """(key, ids as little-endian 32-bit integers) of ``texts(key, text)``, by the scan over chunks."""
-    chunks = common.materialize(texts.mapInArrow(_split(vocabulary, size), CHUNKS), "chunks")
+    Chunks are cut anew for the second pass rather than written; only matrices and states are.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2("text", 256))
+    chunks = docs.select("doc_id", key.alias("key"), "text").mapInArrow(_split(vocabulary, size), CHUNKS)
     matrices = common.materialize(chunks.mapInArrow(_matrices(vocabulary), "key string, block int, chunk int, m binary"), "matrices")
     blocks = matrices.groupBy("key", "block").applyInArrow(_combine, "key string, block int, m binary")
     borders = blocks.groupBy("key").applyInArrow(_top, "key string, block int, entry int, exit int")
     inside = matrices.groupBy("key", "block").cogroup(borders.groupBy("key", "block")).applyInArrow(_inside, "key string, chunk int, entry int, exit int")
-    traced = chunks.join(inside, ["key", "chunk"]).mapInArrow(_trace(vocabulary), "key string, chunk int, ids binary")
-    return traced.groupBy("key").applyInArrow(_join_ids, "key string, ids binary")
+    inside = common.materialize(inside, "states")
+    traced = chunks.join(inside, ["key", "chunk"]).mapInArrow(_trace(vocabulary), "doc_id long, key string, chunk int, ids binary")
+    return traced.groupBy("key").applyInArrow(_join_ids, "doc_id long, ids binary")
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, size: int = CHUNK) -> DataFrame:
-    """(doc_id, ids binary, n_ids): documents up to ``giant`` characters are one chunk; of giant ones each distinct text is scanned once."""
+    """(doc_id, ids binary, n_ids): documents up to ``giant`` characters are one chunk; giant ones are scanned in chunks."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = F.length("text")
 
@@ -383,10 +427,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     small = docs.where(n <= giant).mapInArrow(whole, "doc_id long, ids binary")
-    keyed = docs.where(n > giant).withColumn("key", F.sha2("text", 256))
-    done = encode_giants(keyed.select("key", "text").dropDuplicates(["key"]), vocabulary, size)
-    # Joined by another expression than grouped by, so that a giant text's copies can be split.
-    large = keyed.select("doc_id", F.reverse("key").alias("k")).join(done.select(F.reverse("key").alias("k"), "ids"), "k").select("doc_id", "ids")
+    large = encode_giants(docs.where(n > giant), vocabulary, size)
     return small.unionAll(large).withColumn("n_ids", (F.octet_length("ids") / 4).cast("long"))
 
 
