@@ -1,7 +1,7 @@
 """Repeated passages by a distributed merge sort of suffixes that never re-compares known prefixes.
 
 A byte goes if a ``WINDOW``-byte string that covers it also starts in a document with a smaller id. Each such string holds one
-anchor, the gram of ``GRAM`` bytes with the least hash in it (the leftmost of equals), so equal strings have equal anchors at equal offsets.
+anchor, the gram of ``GRAM`` bytes with the least hash in it (by 32 bits; the leftmost of equals), so equal strings have equal anchors at equal offsets.
 
 1. Documents ask, for the hash of each of their anchors, whether another document has it too.
 2. Documents that share anchors form sorted runs of suffixes that start at them: the text from the anchor on, and the
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +35,13 @@ from .hashing import BYTE, U, mix, powers
 
 WINDOW, GRAM = 50, 24
 LEFT = WINDOW - GRAM
-HOT = 256
-CHUNK = 4 << 20
+HOT = 1024
+CHUNK = 1 << 20
 FILL = 0xFF  # no UTF-8 text has this byte
 
 
-def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end (``starts`` with an end): text number, anchor, first and last window of each anchor, and its hash."""
-    size = np.diff(starts)
+def anchors(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts in one array (where each starts, and its size): text number, anchor, first and last window of each anchor, and its hash."""
     none = np.zeros(0, np.int64)
     n = np.maximum(0, size - WINDOW + 1)
     if not n.sum():
@@ -49,14 +49,14 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     up, down = powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * up[: len(data)], dtype=np.uint64)])
     h = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
-    low, at = h, np.arange(len(h), dtype=np.int32)
+    low, at = (h >> U(32)).astype(np.uint32), np.arange(len(h), dtype=np.int32)
     width = 1
     while width < LEFT + 1:
         step = min(width, LEFT + 1 - width)
         first = low[:-step] <= low[step:]
         low, at = np.where(first, low[:-step], low[step:]), np.where(first, at[:-step], at[step:])
         width += step
-    p = np.repeat(starts[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    p = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     q = at[p].astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
     last = np.concatenate([new[1:], [len(p)]]) - 1
@@ -64,9 +64,12 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return np.searchsorted(starts, q, side="right") - 1, q, p[new], p[last], h[q]
 
 
-def _laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in one array with a gap of filling bytes around each, where each starts, and sizes."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    gap = bytes([FILL]) * WINDOW
+    size = np.array([len(r) for r in raw], np.int64)
+    return np.frombuffer(gap + b"".join(r + gap for r in raw), np.uint8), WINDOW + np.cumsum(size + WINDOW) - size - WINDOW, size
 
 
 def _key(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -78,8 +81,7 @@ def _ask(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, int] = {}
         for batch in common.slices(batches, "text", CHUNK):
-            data, starts = _laid(common.texts(batch, "text"))
-            t, _, _, _, h = anchors(data, starts)
+            t, _, _, _, h = anchors(*_laid(common.texts(batch, "text")))
             ids = batch.column("doc_id").to_numpy()
             key = _key(h, buckets)
             order = np.lexsort((key, t))
@@ -99,7 +101,7 @@ def _ask(buckets: int):
             if known.any():
                 for b in np.unique(mine[t[known]]):
                     at = known & (mine[t] == b)
-                    out.append((int(b), True, ids[t[at]].tobytes(), (key[at] << 1 | 1).tobytes()))
+                    out.append((int(b), True, *_answered(ids[t[at]], key[at] << 1 | 1)))
             t, key = t[~known], key[~known]
             order = np.argsort(key >> 32, kind="stable")
             t, key = t[order], key[order]
@@ -117,7 +119,25 @@ def _ask(buckets: int):
 
 
 def common_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % U(buckets)).astype(np.int64)
+    """A document's bucket. ``buckets`` is prime, so regular ids spread evenly; SQL's pmod gives the same."""
+    return np.mod(ids.astype(np.int64), buckets)
+
+
+def _answered(docs: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Answers in little space: each document with how many it gets, then their keys by size as differences, compressed."""
+    order = np.lexsort((keys, docs))
+    docs, keys = docs[order], keys[order]
+    head = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+    packed = np.concatenate([docs[head], np.diff(np.concatenate([head, [len(docs)]]))]).astype(np.int64)
+    planes = np.diff(keys, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T  # equal bytes side by side
+    return packed.tobytes(), zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _read_answers(docs: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
+    d = np.frombuffer(docs, np.int64)
+    d = np.repeat(d[: len(d) // 2], d[len(d) // 2 :])
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(keys), np.uint8).reshape(8, -1)
+    return d, np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
 
 
 def _answer(buckets: int):
@@ -127,10 +147,10 @@ def _answer(buckets: int):
         out: list[tuple] = []
         bucket = table.column("bucket")[0].as_py()
         for known, d, k in zip(table.column("known").to_pylist(), table.column("docs"), table.column("keys")):
-            d = np.frombuffer(d.as_buffer(), np.int64)
             if known:
-                out.append((bucket, d.tobytes(), k.as_py()))
+                out.append((bucket, d.as_py(), k.as_py()))
                 continue
+            d = np.frombuffer(d.as_buffer(), np.int64)
             docs.append(np.repeat(d[: len(d) // 2], d[len(d) // 2 :]))
             keys.append(np.frombuffer(k.as_buffer(), np.uint32))
         if keys:
@@ -147,7 +167,7 @@ def _answer(buckets: int):
             docs, value, mine = docs[order], value[order], mine[order]
             cut = np.searchsorted(mine, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)):
-                out.append((int(b), docs[cut[b] : cut[b + 1]].tobytes(), value[cut[b] : cut[b + 1]].tobytes()))
+                out.append((int(b), *_answered(docs[cut[b] : cut[b + 1]], value[cut[b] : cut[b + 1]])))
         cols = zip(*out) if out else [[]] * 3
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "docs", "keys"])
 
@@ -162,135 +182,157 @@ def front_code(rows: np.ndarray) -> tuple[np.ndarray, bytes]:
     return lcp, rows[np.arange(rows.shape[1])[None, :] >= lcp[:, None]].tobytes()
 
 
-def front_decode(lcp: np.ndarray, rest: bytes, width: int) -> np.ndarray:
+def front_decode(lcp: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray:
     own = np.arange(width)[None, :] >= lcp[:, None]
     rows = np.zeros((len(lcp), width), np.uint8)
-    rows[own] = np.frombuffer(rest, np.uint8)
+    rows[own] = rest
     source = np.maximum.accumulate(np.where(own, np.arange(len(lcp))[:, None], 0), axis=0)
     return np.take_along_axis(rows, source, 0)
 
 
-def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[int], list[int]]:
-    """Loser tree over sorted runs of (strings of one length, common-prefix lengths with the string before).
+def words(rows: np.ndarray) -> list[int]:
+    """Byte rows as big-endian words of eight bytes, which compare as the bytes do, one row after the other."""
+    wide = -(-rows.shape[1] // 8) * 8
+    padded = np.zeros((len(rows), wide), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    return padded.view(">u8").ravel().tolist()
+
+
+def merge(runs: list[tuple[list[int], list[int]]], width: int) -> tuple[list[int], list[int], list[int]]:
+    """Loser tree over sorted runs of (strings as words, common-prefix lengths with the string before); ``width`` bytes each.
 
     Returns run, place and common-prefix length with the one before, in merged order. Two candidates are told apart by their prefix
-    lengths with the last winner; only if these are equal are characters compared, from there on.
+    lengths with the last winner; only if these are equal are words compared, from the one where the prefix ends.
     """
     k = len(runs)
     strings, prefixes = [r[0] for r in runs], [r[1] for r in runs]
-    ends, place = [len(s) for s in strings], [0] * k
+    ends, place = [len(p) for p in prefixes], [0] * k
     lead = [0 if n else -1 for n in ends]  # prefix length with the last winner; -1: the run is over
+    n = -(-width // 8)
+    now = [0] * k  # where the present string's words begin
     tree = [-1] * k
     out_run, out_place, out_lcp = [], [], []
 
     def better(a: int, b: int) -> bool:
-        """Whether run a's string comes first; the loser's ``lead`` becomes its prefix length with the winner."""
-        x, y = lead[a], lead[b]
-        if x != y:
-            return x > y
+        """Whether run a's string comes before run b's of equal ``lead``; the loser's becomes its prefix length with the winner."""
+        x = lead[a]
         if x < 0:
             return a < b
-        s, t = strings[a][place[a]], strings[b][place[b]]
-        tail = int.from_bytes(s[x:]) ^ int.from_bytes(t[x:])
-        if not tail:
-            lead[b if a < b else a] = len(s)
-            return a < b
-        m = len(s) - (tail.bit_length() + 7) // 8
-        if s[m] < t[m]:
-            lead[b] = m
-            return True
-        lead[a] = m
-        return False
+        s, t, f, g = strings[a], strings[b], now[a], now[b]
+        i = x >> 3
+        while i < n:
+            p, q = s[f + i], t[g + i]
+            if p != q:
+                m = (i << 3) + 8 - (((p ^ q).bit_length() + 7) >> 3)
+                if p < q:
+                    lead[b] = m
+                    return True
+                lead[a] = m
+                return False
+            i += 1
+        lead[b if a < b else a] = width
+        return a < b
 
     winner = -1
     for leaf in range(k):
         w, node = leaf, (leaf + k) >> 1
         while node:
-            if tree[node] < 0:
+            other = tree[node]
+            if other < 0:
                 tree[node] = w
                 w = -1
                 break
-            if better(tree[node], w):
-                tree[node], w = w, tree[node]
+            if lead[other] > lead[w] or (lead[other] == lead[w] and better(other, w)):
+                tree[node], w = w, other
             node >>= 1
         if w >= 0:
             winner = w
+    add_run, add_place, add_lcp = out_run.append, out_place.append, out_lcp.append
     while winner >= 0 and lead[winner] >= 0:
         at = place[winner]
-        out_run.append(winner)
-        out_place.append(at)
-        out_lcp.append(lead[winner])
+        add_run(winner)
+        add_place(at)
+        add_lcp(lead[winner])
         at += 1
         place[winner] = at
-        lead[winner] = prefixes[winner][at] if at < ends[winner] else -1
-        w, x, node = winner, lead[winner], (winner + k) >> 1
+        if at < ends[winner]:
+            x = lead[winner] = prefixes[winner][at]
+            now[winner] += n
+        else:
+            x = lead[winner] = -1
+        w, node = winner, (winner + k) >> 1
         while node:
             other = tree[node]
             y = lead[other]
-            if y > x or (y == x and better(other, w)):
+            if y > x:
+                tree[node], w, x = w, other, y
+            elif y == x and better(other, w):
                 tree[node], w = w, other
-                x = lead[w]
             node >>= 1
         winner = w
     return out_run, out_place, out_lcp
 
 
-ENTRY = "bucket int, docs binary, masks binary, lcp_r binary, rest_r binary, to_r binary, lcp_l binary, rest_l binary, times binary, spots binary"
+#: A run of entries: for each its document, mask, how often it occurs and where; both orders front-coded; all in one compressed value.
+PARTS = (("docs", np.int64), ("masks", np.int32), ("times", np.int32), ("spots", np.int32), ("lcp_r", np.uint8), ("rest_r", np.uint8), ("to_r", np.int32), ("lcp_l", np.uint8), ("rest_l", np.uint8))
+
+
+def pack_run(**parts) -> bytes:
+    data = [np.ascontiguousarray(parts.get(name, ()), kind).tobytes() if not isinstance(parts.get(name), bytes) else parts[name] for name, kind in PARTS]
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(x) for x in data], np.int64).tobytes() + b"".join(data))
+
+
+def unpack_run(packed: bytes) -> dict[str, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    sizes = np.frombuffer(data[: 8 * len(PARTS)], np.int64)
+    ends = 8 * len(PARTS) + np.cumsum(sizes)
+    return {name: np.frombuffer(data[e - n : e], kind) for (name, kind), n, e in zip(PARTS, sizes.tolist(), ends.tolist())}
 
 
 def _form_runs(buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            said_docs = np.frombuffer(b"".join(right.column("docs").to_pylist()), np.int64)
-            said = np.frombuffer(b"".join(right.column("keys").to_pylist()), np.int64)
+            said_docs, said = (np.concatenate(c) for c in zip(*(_read_answers(d.as_py(), k.as_py()) for d, k in zip(right.column("docs"), right.column("keys")))))
             order = np.lexsort((said, said_docs))
             said_docs, said = said_docs[order], said[order]
-            ids = left.column("doc_id").to_numpy()
-            known = np.isin(ids, said_docs)
-            texts = left.filter(pa.array(known))
+            left = left.take(pa.array(np.argsort(left.column("doc_id").to_numpy(), kind="stable")))
+            texts = left.filter(pa.array(np.isin(left.column("doc_id").to_numpy(), said_docs)))
             parts = [_occurrences(b, said_docs, said, buckets) for b in common.slices(iter(texts.combine_chunks().to_batches()), "text", CHUNK)]
             if parts := [p for p in parts if len(p[0])]:
                 out = _entries(*(np.concatenate(c) for c in zip(*parts)), buckets)
-        cols = zip(*out) if out else [[]] * 10
-        return pa.table([pa.array(list(c), k) for c, k in zip(cols, (pa.int32(), *[pa.binary()] * 9))], names=[f.split()[0] for f in ENTRY.split(", ")])
+        cols = zip(*out) if out else [[]] * 2
+        return pa.table([pa.array(list(c), k) for c, k in zip(cols, (pa.int32(), pa.binary()))], names=["bucket", "run"])
 
     return run
 
 
+def _pair(docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return mix(docs.view(np.uint64)) + keys.view(np.uint64) * U(0x9E3779B97F4A7C15)
+
+
 def _occurrences(batch: pa.RecordBatch, said_docs: np.ndarray, said: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
     """Rows of the text from an anchor on and before it, document, place in it, mask of offsets, and where to."""
-    data, starts = _laid(common.texts(batch, "text"))
+    data, starts, size = _laid(common.texts(batch, "text"))
     ids = batch.column("doc_id").to_numpy()
-    t, q, a, b, h = anchors(data, starts)
+    t, q, a, b, h = anchors(data, starts, size)
     value = _key(h, buckets) << 1
-    # Answers to this document: its stretch of the sorted answers holds the key, with or without the hot bit.
-    keep = np.zeros(len(t), np.int8)
-    lo, hi = np.searchsorted(said_docs, ids), np.searchsorted(said_docs, ids, side="right")
-    cut = np.searchsorted(t, np.arange(len(ids) + 1))
-    for i in range(len(ids)):
-        if hi[i] > lo[i] and cut[i + 1] > cut[i]:
-            own, v = said[lo[i] : hi[i]], value[cut[i] : cut[i + 1]]
-            keep[cut[i] : cut[i + 1]] = np.isin(v, own) + 2 * np.isin(v | 1, own)
+    near = slice(np.searchsorted(said_docs, ids.min()), np.searchsorted(said_docs, ids.max(), side="right"))
+    told = _pair(said_docs[near], said[near])
+    keep = np.isin(_pair(ids[t], value), told) + 2 * np.isin(_pair(ids[t], value | 1), told)
     at, hot = np.flatnonzero(keep == 1), np.flatnonzero(keep >= 2)
-    padded = np.concatenate([data, np.full(WINDOW, FILL, np.uint8)])
-
-    def forward(q: np.ndarray, t: np.ndarray) -> np.ndarray:
-        i = q[:, None] + np.arange(WINDOW)[None, :]
-        return np.where(i < starts[t + 1][:, None], padded[i], np.uint8(FILL))
-
-    def backward(q: np.ndarray, t: np.ndarray) -> np.ndarray:
-        i = q[:, None] - 1 - np.arange(LEFT)[None, :]
-        return np.where(i >= starts[t][:, None], padded[np.maximum(i, 0)], np.uint8(FILL))
-
-    cold = np.concatenate([forward(q[at], t[at]), backward(q[at], t[at])], 1)
+    after = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
+    before = np.lib.stride_tricks.sliding_window_view(data, LEFT)
+    cold = np.concatenate([after[q[at]], before[q[at] - LEFT][:, ::-1]], 1)
     first, last = q[at] - b[at], q[at] - a[at]
+    place = np.arange(WINDOW + LEFT)[None, :]
+    cold[(place >= WINDOW - first[:, None]) & (place < WINDOW) | (place >= WINDOW + last[:, None])] = FILL  # no window of this anchor goes further
     mask = (np.int64(1) << (last + 1)) - (np.int64(1) << first)
     to = (h[at] >> U(32)) % U(buckets)
     n = b[hot] - a[hot] + 1
     p = np.repeat(a[hot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(hot) else np.zeros(0, np.int64)
     tp = np.repeat(t[hot], n)
-    single = forward(p, tp)
+    single = after[p]
     weight = np.multiply.accumulate(np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64))
     to_hot = mix((BYTE[single] * weight[None, :]).sum(1, dtype=np.uint64)) % U(buckets) if len(p) else np.zeros(0, np.uint64)
     rows = np.concatenate([cold, np.concatenate([single, np.full((len(p), LEFT), FILL, np.uint8)], 1)])
@@ -307,8 +349,7 @@ def _entries(rows: np.ndarray, docs: np.ndarray, spots: np.ndarray, masks: np.nd
     out: list[tuple] = []
     done = ~own
     if done.any():
-        empty = b""
-        out.append((int(to[0]), docs[done].tobytes(), masks[done].tobytes(), empty, empty, empty, empty, empty, empty, spots[done].astype(np.int32).tobytes()))
+        out.append((int(to[0]), pack_run(docs=docs[done], masks=masks[done], spots=spots[done])))
     times = np.bincount(group[own], minlength=group[-1] + 1)
     waiting = spots[own].astype(np.int32)
     after = np.concatenate([[0], np.cumsum(times)])
@@ -321,16 +362,15 @@ def _entries(rows: np.ndarray, docs: np.ndarray, spots: np.ndarray, masks: np.nd
         before = np.ascontiguousarray(r[:, WINDOW:])
         by_left = np.argsort(before.view(f"S{LEFT}").ravel(), kind="stable")
         lcp_l, rest_l = front_code(before[by_left])
-        out.append((int(b), docs[at].tobytes(), masks[at].tobytes(), lcp_r.tobytes(), rest_r, by_left.astype(np.int32).tobytes(), lcp_l.tobytes(), rest_l, times[at].astype(np.int32).tobytes(), waiting[after[cut[b]] : after[cut[b + 1]]].tobytes()))
+        out.append((int(b), pack_run(docs=docs[at], masks=masks[at], times=times[at], spots=waiting[after[cut[b]] : after[cut[b + 1]]], lcp_r=lcp_r, rest_r=rest_r, to_r=by_left, lcp_l=lcp_l, rest_l=rest_l)))
     return out
 
 
-def _merged(runs: list[tuple[np.ndarray, bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merged(runs: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     decoded = []
     for lcp, rest in runs:
-        flat = front_decode(lcp, rest, width).tobytes()
-        decoded.append(([flat[i : i + width] for i in range(0, len(flat), width)], lcp.tolist()))
-    return tuple(np.array(c, np.int64) for c in merge(decoded))
+        decoded.append((words(front_decode(lcp, rest, width)), lcp.tolist()))
+    return tuple(np.array(c, np.int64) for c in merge(decoded, width))
 
 
 def _judge(buckets: int):
@@ -338,24 +378,24 @@ def _judge(buckets: int):
         """Merges a bucket's runs; rows (bucket of the documents, ids, places, masks of removed windows)."""
         found_docs, found_spots, found_masks = [], [], []
         runs = []
-        for r in table.to_pylist():
-            if r["lcp_r"]:
+        for packed in table.column("run"):
+            r = unpack_run(packed.as_py())
+            if len(r["lcp_r"]):
                 runs.append(r)
             else:
-                found_docs.append(np.frombuffer(r["docs"], np.int64))
-                found_spots.append(np.frombuffer(r["spots"], np.int32))
-                found_masks.append(np.frombuffer(r["masks"], np.int64))
+                found_docs.append(r["docs"])
+                found_spots.append(r["spots"])
+                found_masks.append(r["masks"])
         if len(runs) > 1:
-            docs, masks = (np.concatenate([np.frombuffer(r[c], np.int64) for r in runs]) for c in ("docs", "masks"))
-            size = np.array([len(r["docs"]) // 8 for r in runs])
-            base = np.concatenate([[0], np.cumsum(size)])
-            which, place, lcp_r = _merged([(np.frombuffer(r["lcp_r"], np.uint8), r["rest_r"]) for r in runs], WINDOW)
+            docs, masks, times, spots, to_left = (np.concatenate([r[c] for r in runs]) for c in ("docs", "masks", "times", "spots", "to_r"))
+            base = np.concatenate([[0], np.cumsum([len(r["docs"]) for r in runs])])
+            which, place, lcp_r = _merged([(r["lcp_r"], r["rest_r"]) for r in runs], WINDOW)
             by_right = base[which] + place
-            to_left = [np.frombuffer(r["to_r"], np.int32) for r in runs]
-            which, place, lcp_l = _merged([(np.frombuffer(r["lcp_l"], np.uint8), r["rest_l"]) for r in runs], LEFT)
-            by_left = base[which] + np.concatenate(to_left)[base[which] + place]
+            which, place, lcp_l = _merged([(r["lcp_l"], r["rest_l"]) for r in runs], LEFT)
+            by_left = base[which] + to_left[base[which] + place]
+            del runs, which, place
             n = len(docs)
-            removed = np.zeros(n, np.int64)
+            removed = np.zeros(n, np.int32)
             right, left = np.empty(n, np.int64), np.empty(n, np.int64)
             for o in range(LEFT + 1):
                 at = np.flatnonzero(masks >> o & 1)
@@ -368,9 +408,7 @@ def _judge(buckets: int):
                 same, d = same[order], docs[at][order]
                 head = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
                 least = np.repeat(np.minimum.reduceat(d, head), np.diff(np.concatenate([head, [len(d)]])))
-                removed[at[order][least < d]] |= np.int64(1) << o
-            times = np.concatenate([np.frombuffer(r["times"], np.int32) for r in runs])
-            spots = np.concatenate([np.frombuffer(r["spots"], np.int32) for r in runs])
+                removed[at[order][least < d]] |= np.int32(1 << o)
             each = np.repeat(removed, times)
             hit = each != 0
             found_docs.append(np.repeat(docs, times)[hit])
@@ -427,23 +465,21 @@ def _windows(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, docs, spots, masks): windows to remove, written down. ``docs`` has bucket, doc_id, text."""
     texts = docs.where("doc_id is not null").select("bucket", "doc_id", "text")
     asked = texts.select("doc_id", "text").mapInArrow(_ask(buckets), "bucket int, known boolean, docs binary, keys binary")
-    answers = common.materialize(asked.groupBy("bucket").applyInArrow(_answer(buckets), "bucket int, docs binary, keys binary"), "answers")
-    runs = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_form_runs(buckets), ENTRY)
+    answers = asked.groupBy("bucket").applyInArrow(_answer(buckets), "bucket int, docs binary, keys binary")
+    runs = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_form_runs(buckets), "bucket int, run binary")
     return common.materialize(runs.groupBy("bucket").applyInArrow(_judge(buckets), "bucket int, docs binary, spots binary, masks binary"), "removed")
 
 
-def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(common_bucket(ids, buckets).astype(np.int32))], names=[*batch.schema.names, "bucket"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", bucket int"
-    return docs.mapInArrow(run, schema)
+def _bucketed(docs: DataFrame, buckets: int, id_col: str = "doc_id") -> DataFrame:
+    return docs.withColumn("bucket", F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(buckets)).cast("int"))
 
 
 def bucket_count(docs: DataFrame) -> int:
-    return 4 * common.partitions(docs.sparkSession)
+    """The first prime from twice the shuffle partitions on: tasks exchange up to its square of small rows."""
+    n = 2 * common.partitions(docs.sparkSession) + 1
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -474,11 +510,6 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = docs.drop("bucket")
     own = _bucketed(kept.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), buckets)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(id_col).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(common_bucket(ids, buckets).astype(np.int32))], names=[*batch.schema.names, "bucket"])
-
     def apply(left: pa.Table, gone) -> pa.Table:
         texts = []
         for i, text in zip(left.column(id_col).to_pylist(), left.column(text_col).to_pylist()):
@@ -495,5 +526,4 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     windows = _windows(own, buckets)
-    dealt = kept.mapInArrow(run, schema + ", bucket int")
-    return dealt.groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInArrow(_finish(apply), schema)
+    return _bucketed(kept, buckets, id_col).groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInArrow(_finish(apply), schema)
