@@ -386,7 +386,7 @@ def _judge(buckets: int):
                 found_docs.append(r["docs"])
                 found_spots.append(r["spots"])
                 found_masks.append(r["masks"])
-        if len(runs) > 1:
+        if sum(len(r["docs"]) for r in runs) > 1:  # entries of one run may share windows too
             docs, masks, times, spots, to_left = (np.concatenate([r[c] for r in runs]) for c in ("docs", "masks", "times", "spots", "to_r"))
             base = np.concatenate([[0], np.cumsum([len(r["docs"]) for r in runs])])
             which, place, lcp_r = _merged([(r["lcp_r"], r["rest_r"]) for r in runs], WINDOW)

@@ -143,6 +143,17 @@ def test_repeated_passages(spark, monkeypatch, hot):
     assert suffixes.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeats_of_documents_in_one_bucket(spark):
+    """Ids of one document bucket, a passage in different surroundings: each gram bucket gets a single run."""
+    rnd = random.Random(12)
+    passage = "".join(rnd.choice("abcdefgh") for _ in range(60))
+    docs = spark.createDataFrame([(0, "")], "doc_id long, text string")
+    step = suffixes.bucket_count(docs)
+    rows = [(step * i, "".join(rnd.choice("uvwxyz") for _ in range(40)) + passage + "".join(rnd.choice("uvwxyz") for _ in range(40))) for i in range(5)]
+    got = suffixes.repeated_passages(spark.createDataFrame(rows, docs.schema))
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, brute_cut(rows)))
+
+
 def test_loser_tree_and_front_coding():
     rng = np.random.default_rng(5)
     runs, every = [], []
