@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Terms are words and, for longer words, their four-letter stems. The vocabulary holds the terms that labelled
-examples show to go with label 1 (a G-test over distinct examples). Document frequencies of these terms are counted over all
-documents. Labelled examples are indexed with each block's largest weight of each term; a query visits blocks in order of their
-upper bounds and stops when no block can improve its ``K`` best, so the neighbours are exact. Votes weighted by cosine are
-calibrated by a logistic fit on examples that are not in the index that they ask, weighted to the classes' true shares.
-
-Bounds: at most ``PER_CLASS`` examples a class and ``MAX_TERMS`` terms. Null text counts as empty; texts without a term of the
-vocabulary have no neighbours and get the calibrated score of no votes. Repeated rows get equal scores, null ids pass
+Terms are words and, for longer words, their four-letter stems: all that the labelled examples have. Document frequencies
+of these terms are counted over all documents. Labelled examples are indexed over all their terms, with each block's largest weight of
+each term; a query visits the blocks of the highest upper bounds, then all others whose bound can improve its ``K`` best, so the
+neighbours are exact. A second index holds only the terms that go with label 1 (a G-test over distinct examples) and votes
+beside the first; it takes nothing from it. Votes weighted by cosine are calibrated by a logistic fit on examples that are not
+in the index that they ask, weighted to the classes' true shares.
+
+Bounds: at most ``PER_CLASS`` examples a class, and ``MAX_TERMS`` terms in the second index. A query's terms that no labelled example has match
+none and are in no norm, which scales all its cosines alike. Null text counts as empty; texts without a known term
+have no neighbours and get the calibrated score of no votes. Repeated rows get equal scores, null ids pass
 through. Without labels of both classes every score is the share of label 1 (0.5 without labels).
 """
 
@@ -31,7 +33,7 @@ from .quality import labelled
 PER_CLASS = 3000
 MAX_TERMS = 8192
 K = 16
-BLOCK = 64
+BLOCK, FIRST = 64, 8
 MIN_G = 20.0
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -72,11 +74,11 @@ def choose_terms(rows: list[tuple[str, int, int]], max_terms: int = MAX_TERMS, m
 def term_counts(text: str, ids: dict[str, int]) -> dict[int, int]:
     out: dict[int, int] = {}
     get = ids.get
-    for w in words(text):
+    for w, n in Counter(words(text)).items():
         if (i := get(w)) is not None:
-            out[i] = out.get(i, 0) + 1
+            out[i] = out.get(i, 0) + n
         if len(w) > 5 and (i := get(w[:4] + "*")) is not None:
-            out[i] = out.get(i, 0) + 1
+            out[i] = out.get(i, 0) + n
     return out
 
 
@@ -95,68 +97,86 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["i", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    found = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(ids) + 1, np.int64)
-    for r in rows:
-        df[r["i"]] = r["n"]
+    df[found.column("i").to_numpy()] = found.column("n").to_numpy()
     return df[:-1], int(df[-1])
 
 
+def _spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each lo to before its hi, and how many each has."""
+    n = hi - lo
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), n
+
+
 @dataclass
 class Index:
-    """Block-max inverted index over weighted example vectors; ``ids`` carries what evidence shows."""
+    """Block-max inverted index over weighted example vectors; ``ids`` carries what evidence shows.
+
+    Postings are sorted by term and row. An entry is what a block has of a term: ``entries`` says where a term's begin, ``postings`` where an entry's begin.
+    """
 
     idf: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
-    blocks: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
-    block_max: np.ndarray | None = None
+    entries: np.ndarray
+    blocks: np.ndarray
+    block_max: np.ndarray
+    postings: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
 
     @classmethod
     def build(cls, vectors: list[dict[int, int]], labels: list[int], ids: list[int], idf: np.ndarray) -> Index:
         keep = [i for i, v in enumerate(vectors) if v]
-        self = cls(idf, np.array([labels[i] for i in keep], float), np.array([ids[i] for i in keep], np.int64))
-        n_blocks = -(-len(keep) // BLOCK)
-        self.block_max = np.zeros((len(idf), max(1, n_blocks)), np.float64)
-        for b in range(n_blocks):
-            postings: dict[int, list[tuple[int, float]]] = {}
-            for j, i in enumerate(keep[b * BLOCK : (b + 1) * BLOCK]):
-                for t, w in self.weigh(vectors[i]).items():
-                    postings.setdefault(t, []).append((j, w))
-            self.blocks.append({t: (np.array([j for j, _ in p]), np.array([w for _, w in p])) for t, p in postings.items()})
-            for t, p in postings.items():
-                self.block_max[t, b] = max(w for _, w in p)
-        return self
+        weighed = [cls.weigh_by(idf, vectors[i]) for i in keep]
+        rows = np.repeat(np.arange(len(keep), dtype=np.int32), [len(v) for v in weighed])
+        terms = np.array([t for v in weighed for t in v], np.int64)
+        weights = np.array([w for v in weighed for w in v.values()], float)
+        order = np.lexsort((rows, terms))
+        rows, terms, weights = rows[order], terms[order], weights[order]
+        block = rows // BLOCK
+        head = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])[: len(rows)])
+        most = np.maximum.reduceat(weights, head) if len(head) else weights
+        entries = np.searchsorted(terms[head], np.arange(len(idf) + 1))
+        own = np.array([labels[i] for i in keep], float), np.array([ids[i] for i in keep], np.int64)
+        return cls(idf, *own, entries, block[head], most, np.concatenate([head, [len(rows)]]), rows, weights)
+
+    @staticmethod
+    def weigh_by(idf: np.ndarray, counts: dict[int, int]) -> dict[int, float]:
+        t = np.fromiter(counts, np.int64, len(counts))
+        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * idf[t]
+        norm = math.sqrt(w @ w)
+        return dict(zip(t.tolist(), (w / norm).tolist())) if norm else {}
 
     def weigh(self, counts: dict[int, int]) -> dict[int, float]:
-        w = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = math.sqrt(sum(x * x for x in w.values()))
-        return {t: x / norm for t, x in w.items()} if norm else {}
+        return self.weigh_by(self.idf, counts)
 
     def nearest(self, counts: dict[int, int], k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k best examples, exact; ties go to the smaller row."""
         q = self.weigh(counts)
-        if not q or not self.blocks:
+        if not q or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
         terms = np.fromiter(q, np.int64, len(q))
-        bound = np.fromiter(q.values(), float, len(q)) @ self.block_max[terms]
-        rows, sims, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(sims) == k and bound[b] < floor - 1e-12):
-                break
-            acc = np.zeros(BLOCK)
-            block = self.blocks[b]
-            for t, w in q.items():
-                if p := block.get(t):
-                    acc[p[0]] += w * p[1]
-            hit = np.flatnonzero(acc)
-            rows, sims = np.concatenate([rows, b * BLOCK + hit]), np.concatenate([sims, acc[hit]])
+        e, n = _spans(self.entries[terms], self.entries[terms + 1])
+        w, blocks = np.repeat(np.fromiter(q.values(), float, len(q)), n), self.blocks[e]
+        bound = np.bincount(blocks, w * self.block_max[e], -(-len(self.ids) // BLOCK))
+        todo = np.zeros(len(bound), bool)
+        todo[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        sims, floor = np.zeros(len(self.ids)), 0.0
+        for last in (False, True):  # the blocks of the highest bounds, then all others that can improve on them
+            at = np.flatnonzero(todo[blocks])
+            p, n = _spans(self.postings[e[at]], self.postings[e[at] + 1])
+            sims += np.bincount(self.rows[p], np.repeat(w[at], n) * self.weights[p], len(sims))
             if len(sims) > k:
-                best = np.lexsort((rows, -np.round(sims, 12)))[:k]
-                rows, sims = rows[best], sims[best]
-            floor = sims.min() if len(sims) == k else 0.0
-        best = np.lexsort((rows, -np.round(sims, 12)))
-        return rows[best], sims[best]
+                floor = np.partition(sims, len(sims) - k)[len(sims) - k]
+            if not last:
+                todo = ~todo & (bound > 0) & (bound >= floor - 1e-12)
+                if not todo.any():
+                    break
+        hit = np.flatnonzero((sims > 0) & (sims >= floor - 1e-11))
+        best = hit[np.lexsort((hit, -np.round(sims[hit], 12)))[:k]]
+        return best, sims[best]
 
     def votes(self, counts: dict[int, int]) -> tuple[float, float, np.ndarray, np.ndarray]:
         rows, sims = self.nearest(counts)
@@ -168,32 +188,46 @@ class Index:
 class Model:
     terms: list[str]
     index: Index | None
+    flags: set[int]
+    flagged: Index | None
     beta: tuple[float, ...]
     prior: float
 
 
+def _among(counts: dict[int, int], flags: set[int]) -> dict[int, int]:
+    return {t: n for t, n in counts.items() if t in flags}
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, seed: int = 4) -> Model:
     rows, (n0, n1) = labelled(docs, labels, label_col, per_class, seed)
     prior = n1 / (n0 + n1) if n0 + n1 else 0.5
-    terms = choose_terms(rows)
+    counts = [Counter(words(t)) for t, _, _ in rows]
+    terms = sorted({w for c in counts for w in c} | {_stem(w) for c in counts for w in c} - {""})
     if not terms or len({y for _, y, _ in rows}) < 2:
-        return Model([], None, (), prior)
+        return Model([], None, set(), None, (), prior)
+    # Blocks of one language have close bounds: rows go by their commonest word.
+    order = sorted(range(len(rows)), key=lambda i: (max(counts[i].items(), key=lambda x: (x[1], x[0]))[0] if counts[i] else "", rows[i][2]))
+    rows = [rows[i] for i in order]
     df, n = document_frequencies(docs, terms)
     idf = np.log((n + 1) / (df + 1)) + 1
     ids = {t: i for i, t in enumerate(terms)}
+    flags = {ids[t] for t in choose_terms(rows)}
     vectors = [term_counts(t, ids) for t, _, _ in rows]
+    views = (vectors, [_among(v, flags) for v in vectors])
     y = np.array([k for _, k, _ in rows], float)
     names = [i for _, _, i in rows]
     fold = np.arange(len(rows)) % 2
-    x = np.zeros((len(rows), 2))
+    x = np.zeros((len(rows), 4))
     for side in (0, 1):  # each half asks an index of the other
-        other = [i for i in range(len(rows)) if fold[i] != side]
-        index = Index.build([vectors[i] for i in other], [int(y[i]) for i in other], [names[i] for i in other], idf)
-        for i in np.flatnonzero(fold == side):
-            x[i] = index.votes(vectors[i])[:2]
+        other = np.flatnonzero(fold != side)
+        for at, view in zip((0, 2), views):
+            index = Index.build([view[i] for i in other], [int(y[i]) for i in other], [names[i] for i in other], idf)
+            for i in np.flatnonzero(fold == side):
+                x[i, at : at + 2] = index.votes(view[i])[:2]
     share = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum()))
     beta = common.logistic(x * 4, y, share * len(y), ridge=0.05)
-    return Model(terms, Index.build(vectors, y.astype(int).tolist(), names, idf), tuple(beta), prior)
+    index, flagged = (Index.build(view, y.astype(int).tolist(), names, idf) for view in views)
+    return Model(terms, index, flags, flagged, tuple(beta), prior)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score", evidence: bool = False) -> DataFrame:
@@ -213,7 +247,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
                     continue
                 counts = term_counts(text, ids)
                 a, b, rows, sims = model.index.votes(counts) if counts else (0.0, 0.0, [], [])
-                p.append(float(common.sigmoid(np.array([4 * a, 4 * b, 1.0]) @ beta)))
+                c, d = model.flagged.votes(_among(counts, model.flags))[:2]
+                p.append(float(common.sigmoid(np.array([4 * a, 4 * b, 4 * c, 4 * d, 1.0]) @ beta)))
                 top = sorted(model.index.weigh(counts).items(), key=lambda x: (-x[1], x[0]))[:3] if evidence and counts else []
                 why.append([f"{model.terms[t]}:{w:.3f}" for t, w in top] + [f"doc {model.index.ids[r]}:{s:.3f}:{int(model.index.labels[r])}" for r, s in list(zip(rows, sims))[:3]])
             extra = [pa.array(p, pa.float64())] + [pa.array(why, pa.list_(pa.string()))] * evidence

@@ -65,6 +65,17 @@ def test_block_max_is_exact():
     assert index.nearest({})[0].size == 0
 
 
+def test_every_example_is_indexed_over_all_terms(spark):
+    """An exact copy of a labelled toxic example of rare words finds it, though no term of it is over-represented."""
+    docs, labels = corpus(spark)
+    text = " ".join(f"{a}rare{b}" for a in "qwxyz" for b in "kmnpq")
+    copies = spark.createDataFrame([(1001, text, "q"), (1002, text, "q")], docs.schema)
+    docs = docs.union(copies)
+    model = toxicity.fit(docs, labels.union(spark.createDataFrame([(1002, 1, 1)], labels.schema)))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model, evidence=True).where("doc_id >= 1000").collect()}
+    assert "doc 1002:1.000:1" in got[1001]["evidence"]
+
+
 def test_sentencepieces_match_the_library(spark):
     import sentencepiece
 
