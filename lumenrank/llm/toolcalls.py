@@ -20,6 +20,7 @@ import json
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,15 +93,20 @@ def _arguments(text: str | None):
         return None
 
 
-def levels(calls: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(conv, call_id, level): of conversations in which a call depends on itself or a later one; level null on or behind a cycle."""
+def levels(calls: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(conv, call_id, level): of conversations in which a call depends on itself or a later one; level null on or behind a cycle.
+
+    Rounds go on until no call is ready. With ``max_rounds``, calls that are ready beyond it are an error.
+    """
     left, done = common.materialize(calls.select("conv", "call_id"), "calls"), []
     edges = common.materialize(edges.select("conv", "call_id", "dep"), "edges")
-    for level in range(max_rounds):
+    for level in count():
         waiting = edges.join(left.select("conv", F.col("call_id").alias("dep")), ["conv", "dep"], "left_semi").select("conv", "call_id").distinct()
         ready = common.materialize(left.join(waiting, ["conv", "call_id"], "left_anti"), "ready")
         if ready.isEmpty():
             break
+        if level == max_rounds:
+            raise RuntimeError(f"calls are still ready after {max_rounds} rounds")
         done.append(ready.withColumn("level", F.lit(level).cast("long")))
         left = common.materialize(left.join(ready, ["conv", "call_id"], "left_anti"), "calls")
     return reduce(DataFrame.unionAll, [*done, left.withColumn("level", F.lit(None).cast("long"))])

@@ -129,6 +129,15 @@ def test_linking(spark):
     assert none.count() == 0
 
 
+def test_chains_longer_than_the_rounds_are_no_cycles(spark):
+    calls = spark.createDataFrame([(1, c) for c in "abcde"], "conv long, call_id string")
+    edges = spark.createDataFrame([(1, a, b) for a, b in zip("abcd", "bcde")], "conv long, call_id string, dep string")  # each on a later one
+    assert {r["call_id"]: r["level"] for r in toolcalls.levels(calls, edges).collect()} == dict(zip("edcba", range(5)))
+    assert toolcalls.levels(calls, edges, max_rounds=5).where("level is null").count() == 0
+    with pytest.raises(RuntimeError):
+        toolcalls.levels(calls, edges, max_rounds=2)
+
+
 def test_messages_with_calls(spark):
     said = json.dumps({"tool_calls": [{"id": "1", "name": "add", "arguments": '{"x": 2}', "depends_on": []}]})
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", said), (1, 2, "tool", json.dumps({"tool_call_id": "1", "content": "ok"})), (1, 3, "assistant", "plain"), (1, 4, "tool", None)]
