@@ -1,7 +1,8 @@
 """The query language that features are written in, compiled to columns over (query, document) rows.
 
 A compiled query is a double that is null where a document does not match. What differs between queries of one shape (terms, numbers) becomes
-columns of the query table, so a plan does not grow with the number of queries.
+columns of the query table, so a plan does not grow with the number of queries. Each query numbers its distinct terms; a row has the postings of
+those that its document has, as a map by that number, and no text.
 """
 
 from __future__ import annotations
@@ -66,15 +67,42 @@ def query_terms(node: dict, corpus: Corpus) -> list[tuple[str, str]]:
     return []
 
 
+def needs_term(node: dict, corpus: Corpus) -> bool:
+    """Whether only documents that have one of ``query_terms`` can match."""
+    kind, body = _split(node)
+    if kind in ("match", "match_phrase"):
+        return bool(query_terms(node, corpus))
+    if kind in ("term", "terms"):
+        return _one(body, kind)[0] in corpus.analyzers
+    if kind == "bool":
+        if any(needs_term(q, corpus) for part in ("must", "filter") for q in _list(body.get(part))):
+            return True
+        should = _list(body.get("should"))
+        least = int(body.get("minimum_should_match", 0 if body.get("must") or body.get("filter") else 1))
+        return bool(should) and least > 0 and all(needs_term(q, corpus) for q in should)
+    if kind == "dis_max":
+        return all(needs_term(q, corpus) for q in body["queries"])
+    if kind in ("function_score", "constant_score"):
+        inner = body.get("query") or body.get("filter")
+        return bool(inner) and needs_term(inner, corpus)
+    return False
+
+
 @dataclass
 class Env:
-    """Compiles for one query at a time; ``bound`` gathers its values, ``shape`` what must be equal for queries to share a plan."""
+    """Compiles for one query at a time; ``bound`` gathers its values, ``shape`` what must be equal for queries to share a plan.
+
+    ``slots`` numbers its terms, ``wants`` names what is read of their postings, ``columns`` the corpus columns that it reads.
+    """
 
     corpus: Corpus
     stats: dict[str, FieldStats]
-    prefix: str = "b"
+    prefix: str = "_b"
     bound: list[tuple[str, object]] = field(default_factory=list)
     shape: list[str] = field(default_factory=list)
+    slots: dict[tuple[str, str], int] = field(default_factory=dict)
+    wants: set[str] = field(default_factory=lambda: {"tf"})
+    columns: set[str] = field(default_factory=set)
 
     def bind(self, kind: str, value) -> Column:
         self.bound.append((kind, value))
@@ -92,24 +120,45 @@ class Env:
     def string(self, value: str) -> Column:
         return self.bind("string", str(value))
 
-    def tokens(self, name: str) -> Column:
-        return F.col(f"tok_{name}")
+    def terms(self, name: str, terms: list[str], *wants: str) -> Column:
+        """Numbers of the terms of a field."""
+        self.wants.update(wants)
+        return self.bind("array<int>", [self.slots.setdefault((name, t), len(self.slots)) for t in terms])
+
+    def column(self, name: str) -> Column:
+        self.columns.add(name)
+        return F.col(name)
 
 
 def _when(match: Column, score: Column) -> Column:
     return F.when(match, score)
 
 
-def bm25(env: Env, name: str, terms: list[str], all_needed: bool = False) -> Column:
-    st, tok = env.stats[name], env.tokens(name)
-    bound = env.strings(terms)
-    weights = env.doubles([st.bm25_idf(t) for t in terms])
-    freq = F.transform(bound, lambda t: analysis.term_frequency(tok, t).cast("double"))
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.size(tok) / F.lit(st.average_length))
-    parts = F.zip_with(freq, weights, lambda f, w: F.when(f > 0, w * (K1 + 1) * f / (f + norm)).otherwise(F.lit(0.0)))
-    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
-    hit = F.forall(freq, lambda f: f > 0) & (F.size(freq) > 0) if all_needed else F.exists(freq, lambda f: f > 0)
-    return _when(hit, total)
+#: The column of a row's postings.
+HITS = "_hits"
+
+
+def _hit(slot: Column) -> Column:
+    """A term's posting in the row's document; null if it has none."""
+    return F.try_element_at(F.col(HITS), slot)
+
+
+def _norm(st: FieldStats, n: Column) -> Column:
+    return F.lit(K1) * (F.lit(1 - B) + F.lit(B) * n / F.lit(st.average_length))
+
+
+def bm25(env: Env, name: str, terms: list[str], all_needed: bool = False, st: FieldStats | None = None) -> Column:
+    st = st or env.stats[name]
+    slots, weights = env.terms(name, terms, "n"), env.doubles([st.bm25_idf(t) for t in terms])
+
+    def part(s: Column, w: Column) -> Column:
+        hit = _hit(s)
+        return F.when(hit.isNotNull(), w * (K1 + 1) * hit["tf"] / (hit["tf"] + _norm(st, hit["n"])))
+
+    parts = F.zip_with(slots, weights, part)
+    if all_needed:
+        return _when(F.forall(slots, lambda s: F.map_contains_key(F.col(HITS), s)) & (F.size(slots) > 0), stats.aggregate(parts, "sum"))
+    return stats.aggregate(F.filter(parts, lambda p: p.isNotNull()), "sum")
 
 
 # Columns of loops are built by functions of their own: each needs its own variables, and lambdas of arrays take no others.
@@ -122,37 +171,48 @@ def _followed(ends: Column, places: Column) -> Column:
 
 
 def _frequencies(env: Env, name: str, terms: list[str]) -> Column:
-    tok = env.tokens(name)
-    return F.transform(env.strings(terms), lambda t: analysis.term_frequency(tok, t).cast("double"))
+    return F.transform(env.terms(name, terms), lambda s: F.coalesce(_hit(s)["tf"].cast("double"), F.lit(0.0)))
+
+
+#: What a posting keeps of a term's places, by the way they are aggregated.
+PLACES = {
+    "avg": (("total",), lambda h: h["total"] / h["tf"]), "sum": (("total",), lambda h: h["total"]), "min": (("lo",), lambda h: h["lo"]), "max": (("hi",), lambda h: h["hi"]),
+    "stddev": (("dev",), lambda h: h["dev"]), "matches": ((), lambda h: F.lit(0.0)),
+}
+
+
+def _place(slot: Column, how: str) -> Column:
+    hit = _hit(slot)
+    return F.when(hit.isNotNull(), PLACES[how][1](hit).cast("double")).otherwise(F.lit(0.0))
 
 
 def _places(env: Env, name: str, terms: list[str], how: str) -> Column:
-    tok = env.tokens(name)
-    return F.transform(env.strings(terms), lambda t: F.coalesce(stats.aggregate(F.transform(analysis.term_positions(tok, t), lambda p: p.cast("double")), how), F.lit(0.0)))
+    return F.transform(env.terms(name, terms, *PLACES[how][0]), lambda s: _place(s, how))
 
 
 def _statistics(env: Env, name: str, terms: list[str], how: str) -> Column:
     """Array of struct(df, idf, ttf, tf, tp)."""
-    st, tok = env.stats[name], env.tokens(name)
-    zipped = F.arrays_zip(env.strings(terms), env.doubles([st.df(t) for t in terms]), env.doubles([st.classic_idf(t) for t in terms]), env.doubles([st.ttf(t) for t in terms]))
+    st = env.stats[name]
+    zipped = F.arrays_zip(env.terms(name, terms, *PLACES[how][0]), env.doubles([st.df(t) for t in terms]), env.doubles([st.classic_idf(t) for t in terms]), env.doubles([st.ttf(t) for t in terms]))
     names = [f"{env.prefix}{len(env.bound) - 4 + i}" for i in range(4)]
 
     def row(z: Column) -> Column:
-        at = F.transform(analysis.term_positions(tok, z[names[0]]), lambda p: p.cast("double"))
-        return F.struct(z[names[1]].alias("df"), z[names[2]].alias("idf"), z[names[3]].alias("ttf"), F.size(at).cast("double").alias("tf"), F.coalesce(stats.aggregate(at, how), F.lit(0.0)).alias("tp"))
+        tf = F.coalesce(_hit(z[names[0]])["tf"].cast("double"), F.lit(0.0))
+        return F.struct(z[names[1]].alias("df"), z[names[2]].alias("idf"), z[names[3]].alias("ttf"), tf.alias("tf"), _place(z[names[0]], how).alias("tp"))
 
     return F.transform(zipped, row)
 
 
 def phrase(env: Env, name: str, terms: list[str], slop: int) -> Column:
     """BM25 of a phrase's frequency; its weight is the sum of its terms' weights. With slop, terms follow in order within that many more places."""
-    st, tok, n = env.stats[name], env.tokens(name), len(terms)
+    st, n = env.stats[name], len(terms)
     if not n:
         return F.lit(None).cast("double")
-    bound = env.strings(terms)
+    bound = env.terms(name, terms, "n", "positions")
     weight = env.double(sum(st.bm25_idf(t) for t in terms))
     env.shape.append(f"{n}/{slop}")
-    places = [analysis.term_positions(tok, F.element_at(bound, k + 1)) for k in range(n)]
+    hits = [_hit(F.element_at(bound, k + 1)) for k in range(n)]
+    places = [F.coalesce(h["positions"], F.array().cast("array<int>")) for h in hits]
     if slop == 0:
         starts = [_shifted(p, k) for k, p in enumerate(places)]
         common = starts[0]
@@ -166,8 +226,10 @@ def phrase(env: Env, name: str, terms: list[str], slop: int) -> Column:
             ends = _followed(ends, p)
         ok = F.filter(ends, lambda r: r["e"].isNotNull() & (r["e"] - r["s"] - (n - 1) <= slop))
         freq = F.aggregate(ok, F.lit(0.0), lambda a, r: a + F.lit(1.0) / (F.lit(1.0) + (r["e"] - r["s"] - (n - 1))))
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.size(tok) / F.lit(st.average_length))
-    return _when(freq > 0, weight * (K1 + 1) * freq / (freq + norm))
+    every = hits[0].isNotNull()
+    for h in hits[1:]:
+        every = every & h.isNotNull()
+    return F.when(every, _when(freq > 0, weight * (K1 + 1) * freq / (freq + _norm(st, hits[0]["n"]))))
 
 
 MODIFIERS = {
@@ -179,7 +241,7 @@ MODIFIERS = {
 def _function(env: Env, spec: dict) -> Column:
     weight = env.double(spec.get("weight", 1.0))
     if factor := spec.get("field_value_factor"):
-        x = F.col(factor["field"]).cast("double")
+        x = env.column(factor["field"]).cast("double")
         if "missing" in factor:
             x = F.coalesce(x, env.double(factor["missing"]))
         modifier = factor.get("modifier", "none")
@@ -253,21 +315,21 @@ def _compile(kind: str, body: dict, env: Env) -> Column:
         if name in corpus.analyzers:
             if kind == "term":
                 return bm25(env, name, [str(values[0])])
-            return _when(F.arrays_overlap(env.tokens(name), env.strings(values)), F.lit(1.0))
-        return _when(F.array_contains(env.strings(values), F.col(name).cast("string")), F.lit(1.0))
+            return _when(F.exists(env.terms(name, [str(v) for v in values]), lambda s: F.map_contains_key(F.col(HITS), s)), F.lit(1.0))
+        return _when(F.array_contains(env.strings(values), env.column(name).cast("string")), F.lit(1.0))
     if kind == "ids":
         return _when(F.array_contains(env.strings(_list(body["values"])), F.col(corpus.id_col).cast("string")), F.lit(1.0))
     if kind == "range":
         name, spec = _one(body, kind)
         env.shape.append(f"{name} {sorted(spec)}")
-        x, ok = F.col(name).cast("double"), F.lit(True)
+        x, ok = env.column(name).cast("double"), F.lit(True)
         for op, f in (("gt", lambda a, b: a > b), ("gte", lambda a, b: a >= b), ("lt", lambda a, b: a < b), ("lte", lambda a, b: a <= b)):
             if op in spec:
                 ok = ok & f(x, env.double(spec[op]))
         return _when(ok, F.lit(1.0))
     if kind == "exists":
         env.shape.append(body["field"])
-        return _when(F.col(body["field"]).isNotNull(), F.lit(1.0))
+        return _when(env.column(body["field"]).isNotNull(), F.lit(1.0))
     if kind == "constant_score":
         return _when(compile_query(body["filter"], env).isNotNull(), F.lit(1.0))
     if kind == "bool":
@@ -300,7 +362,7 @@ def _compile(kind: str, body: dict, env: Env) -> Column:
     if kind == "geo_distance":
         (name, point), = ((k, v) for k, v in body.items() if k not in ("distance", "boost", "_name"))
         env.shape.append(name)
-        at = F.col(name)
+        at = env.column(name)
         near = geo_distance_m(at["lat"], at["lon"], env.double(point["lat"]), env.double(point["lon"])) <= env.double(distance(body["distance"]))
         return _when(near, F.lit(1.0))
     if kind == "nested":
@@ -308,7 +370,7 @@ def _compile(kind: str, body: dict, env: Env) -> Column:
         name, spec = _one(inner, inner_kind)
         column = name.removeprefix(body["path"] + ".")
         env.shape.append(f"{body['path']} {column} {inner_kind}")
-        rows = F.col(body["path"])
+        rows = env.column(body["path"])
         if inner_kind in ("term", "terms"):
             wanted = env.strings(_list(spec["value"] if isinstance(spec, dict) else spec))
             return _when(F.exists(rows, lambda r: F.array_contains(wanted, r[column].cast("string"))), F.lit(1.0))
@@ -345,7 +407,7 @@ def explorer(body: dict, env: Env) -> Column:
     how, _, stat = kind.partition("_")
     if stat in COLLECTION and how in ("sum", "min", "max", "mean", "stddev"):
         value = {"raw_df": lambda s, t: s.df(t), "classic_idf": lambda s, t: s.classic_idf(t), "raw_ttf": lambda s, t: s.ttf(t)}[stat]
-        return stats.aggregate(env.doubles([value(env.stats[f], t) for f, t in terms]), how)
+        return env.double(stats.fold([float(value(env.stats[f], t)) for f, t in terms], how))
     if scoped:
         raise ValueError("Invalid stat type specified.")
     fields = _by_field(terms)

@@ -11,7 +11,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,12 +26,15 @@ from . import dsl
 MAX_FEATURES = 10_000
 LANGUAGES = ("mustache", "derived_expression", "script_feature")
 ScriptFn = Callable[..., float]
-_scripts: dict[str, ScriptFn] = {}
+_scripts: dict[str, tuple[ScriptFn, bool]] = {}
 
 
-def register_script(name: str, fn: ScriptFn) -> None:
-    """``fn(features, params, term_stats, extra_logging)``: name to value so far, parameters, lists of statistics or None, and a dict to fill."""
-    _scripts[name] = fn
+def register_script(name: str, fn: ScriptFn, batched: bool = False) -> None:
+    """``fn(features, params, term_stats, extra_logging)``: name to value so far, parameters, lists of statistics or None, and a dict to fill.
+
+    A ``batched`` one is called once a batch: features are arrays, the others lists with an entry a row, and it returns an array.
+    """
+    _scripts[name] = fn, batched
 
 
 @dataclass(frozen=True)
@@ -179,15 +184,8 @@ def evaluate(corpus: Corpus, queries: dict[int, dict], features: FeatureSet, act
     live = [f for f in features.features if not active or f.name in active]
     if missing := sorted({p for params in queries.values() for f in live for p in f.missing(params)}):
         raise ValueError(f"Missing required param(s): [{','.join(missing)}]")
-    if len(queries) > pairs.MAX_QUERIES:
-        ids = list(queries)
-        parts = [ids[i : i + pairs.MAX_QUERIES] for i in range(0, len(ids), pairs.MAX_QUERIES)]
-        done = [evaluate(corpus, {q: queries[q] for q in p}, features, active, candidates and {q: candidates[q] for q in p}, default, keep) for p in parts]
-        return Evaluated(reduce(DataFrame.unionByName, [d.df for d in done]), features, done[0].logs)
-
     rendered = {q: {f.name: f.query(params) for f in live if f.template_language == "mustache"} for q, params in queries.items()}
     scripts = {f.name: json.loads(f.template) if isinstance(f.template, str) else f.template for f in live if f.template_language == "script_feature"}
-    wanted: dict[int, dict[str, list[str]]] = {}
     needed: dict[str, set[str]] = {}
     for q, nodes in rendered.items():
         terms = [t for node in nodes.values() for t in dsl.query_terms(node, corpus)]
@@ -195,21 +193,18 @@ def evaluate(corpus: Corpus, queries: dict[int, dict], features: FeatureSet, act
             if spec := s.get("params", {}).get("term_stat"):
                 terms += _script_terms(spec, queries[q], corpus).all_terms(corpus)
         if candidates:
-            own = dsl.query_terms(candidates[q], corpus)
-            wanted[q] = {}
-            for f, t in own:
-                wanted[q].setdefault(f, []).append(t)
-            terms += own
+            terms += dsl.query_terms(candidates[q], corpus)
         for f, t in terms:
             needed.setdefault(f, set()).add(t)
     stats = corpus.stats(needed)
-    docs = pairs.with_tokens(corpus, sorted(needed))
-    kept = [corpus.id_col, *(keep if keep is not None else [c for c in corpus.df.columns if c != corpus.id_col])]
+    kept = [c for c in (keep if keep is not None else corpus.df.columns) if c != corpus.id_col]
 
-    shapes: dict[str, tuple[dict, list]] = {}
+    shapes: dict[str, tuple[list, Column | None, dict[int, dsl.Env]]] = {}
     for q, params in queries.items():
         env = dsl.Env(corpus, stats)
         plan: list[tuple] = []
+        by_term = candidates is not None and dsl.needs_term(candidates[q], corpus)
+        env.shape.append(f"{by_term}")
         chosen = dsl.compile_query(candidates[q], env) if candidates else None
         for f in features.features:
             if f not in live:
@@ -232,56 +227,76 @@ def evaluate(corpus: Corpus, queries: dict[int, dict], features: FeatureSet, act
                 plan.append(("script", script["source"], env.string(json.dumps({**base, **params, **extra})), rows))
             else:
                 raise ValueError(f"unsupported template language [{f.template_language}]")
-        shapes.setdefault("|".join(env.shape), (plan, chosen, {}))[2][q] = env.bound
+        shapes.setdefault("|".join([*env.shape, str(bool(env.slots))]), (plan, chosen, {}))[2][q] = env
     out, logs = [], {}
     spark = corpus.df.sparkSession
-    for plan, chosen, bound in shapes.values():
-        ids = list(bound)
-        matched = candidates is not None and all(wanted[q] for q in ids)
-        rows = pairs.attach(docs, ids, wanted if matched else None)
-        rows = rows.join(F.broadcast(pairs.query_table(spark, bound)), "qid")  # at most MAX_QUERIES rows
+    for plan, chosen, envs in shapes.values():
+        first = next(iter(envs.values()))
+        by_term = first.shape[0] == "True"
+        columns = kept + sorted(first.columns - {*kept, corpus.id_col})
+        rows = pairs.attach(corpus, {q: e.slots for q, e in envs.items()}, first.wants, by_term, columns)
+        rows = rows.join(pairs.query_table(spark, {q: e.bound for q, e in envs.items()}, first.prefix), "qid")
         if chosen is not None:
             rows = rows.withColumn("candidate_score", chosen).where("candidate_score is not null")
+        # Queries and term statistics first, at once; then formulas and functions, which read them.
+        given = {f"f{i}": step[1].cast("double") for i, step in enumerate(plan) if step[0] == "query"}
+        given |= {f"_s{i}": _script_statistics(step[3]) for i, step in enumerate(plan) if step[0] == "script"}
+        rows = rows.withColumns(given) if given else rows
+        rows = rows.drop(dsl.HITS)
         for i, step in enumerate(plan):
             known = {features.names[j]: F.coalesce(F.col(f"f{j}"), F.lit(default)) if j < i else F.lit(default) for j in range(len(plan)) if j != i}
             if step[0] == "none":
                 rows = rows.withColumn(f"f{i}", F.lit(None).cast("double"))
-            elif step[0] == "query":
-                rows = rows.withColumn(f"f{i}", step[1].cast("double"))
             elif step[0] == "formula":
                 rows = rows.withColumn(f"f{i}", expressions.to_column(step[1], known | step[2]).cast("double"))
-            else:
-                rows = _run_script(rows, i, features.names[:i], *step[1:], default)
+            elif step[0] == "script":
+                rows = _run_script(rows, i, features.names[:i], step[1], step[2], step[3] is not None, default)
                 logs[i] = f"x{i}"
-        columns = ["qid", *kept, *([c for c in ("candidate_score",) if chosen is not None]), *(f"f{i}" for i in range(len(plan))), *(logs[i] for i in sorted(logs))]
-        out.append(rows.select(*columns))
+        names = ["qid", corpus.id_col, *kept, *([c for c in ("candidate_score",) if chosen is not None]), *(f"f{i}" for i in range(len(plan))), *(logs[i] for i in sorted(logs))]
+        out.append(rows.select(*names))
     return Evaluated(reduce(DataFrame.unionByName, out), features, logs)
 
 
-def _run_script(rows: DataFrame, i: int, names: list[str], source: str, params: Column, terms, default: float) -> DataFrame:
-    fn = _scripts[source]
-    has_terms = terms is not None
-    if has_terms and terms[0] is not None:
-        stat = F.struct(F.to_json(terms[0]).alias("rows"), terms[1].alias("matches"), terms[2].alias("unique"))
-    else:
-        stat = F.struct(F.lit("[]").alias("rows"), F.lit(0.0).alias("matches"), (terms[2] if has_terms else F.lit(0.0)).alias("unique"))
-    vector = F.array(*(F.coalesce(F.col(f"f{j}"), F.lit(default)) for j in range(i))) if i else F.array().cast("array<double>")
+_STATS = ("df", "idf", "ttf", "tf", "tp")
 
-    given = rows.withColumns({"_vector": vector, "_params": params, "_stat": stat})
-    kept = list(rows.columns)
-    schema = T.StructType([*rows.schema.fields, T.StructField(f"f{i}", T.DoubleType()), T.StructField(f"x{i}", T.MapType(T.StringType(), T.StringType()))])
+
+def _script_statistics(terms) -> Column:
+    none = F.array().cast("array<struct<df:double,idf:double,ttf:double,tf:double,tp:double>>")
+    rows, matches, unique = terms or (None, F.lit(0.0), F.lit(0.0))
+    return F.struct((none if rows is None else rows).alias("rows"), matches.alias("matches"), unique.alias("unique"))
+
+
+def _run_script(rows: DataFrame, i: int, names: list[str], source: str, params: Column, has_terms: bool, default: float) -> DataFrame:
+    """Statistics and features reach the function as Arrow columns; a query's parameters are parsed once a batch."""
+    fn, batched = _scripts[source]
+    vector = F.array(*(F.coalesce(F.col(f"f{j}"), F.lit(default)) for j in range(i))) if i else F.array().cast("array<double>")
+    kept = [c for c in rows.columns if c != f"_s{i}"]
+    given = rows.withColumns({"_vector": vector, "_params": params})
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField(f"f{i}", T.DoubleType()), T.StructField(f"x{i}", T.MapType(T.StringType(), T.StringType()))])
+
+    def statistics(column: pa.StructArray) -> list[dict | None]:
+        if not has_terms:
+            return [None] * len(column)
+        lists, matches, unique = (column.field(c) for c in ("rows", "matches", "unique"))
+        ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        flat = lists.flatten()
+        values = {c: flat.field(c).to_pylist() for c in _STATS}
+        return [{c: v[a:b] for c, v in values.items()} | {"matchCount": m, "uniqueTerms": u} for a, b, m, u in zip(ends[:-1], ends[1:], matches.to_pylist(), unique.to_pylist())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score, logged = [], []
-            for v, p, t in zip(*(batch.column(c).to_pylist() for c in ("_vector", "_params", "_stat"))):
-                extra: dict = {}
-                ts = None
-                if has_terms:
-                    r = json.loads(t["rows"])
-                    ts = {c: [x[c] for x in r] for c in ("df", "idf", "ttf", "tf", "tp")} | {"matchCount": t["matches"], "uniqueTerms": t["unique"]}
-                score.append(float(fn(dict(zip(names, v)), json.loads(p), ts, extra)))
-                logged.append([(a, str(b)) for a, b in extra.items()] or None)
+            if not batch.num_rows:
+                continue
+            coded = batch.column("_params").dictionary_encode()
+            parsed = [json.loads(p) for p in coded.dictionary.to_pylist()]
+            given, terms = [parsed[c] for c in coded.indices.to_pylist()], statistics(batch.column(f"_s{i}"))
+            flat = batch.column("_vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            extra: list[dict] = [{} for _ in given]
+            if batched:
+                score = np.asarray(fn({n: flat[:, j] for j, n in enumerate(names)}, given, terms, extra), np.float64)
+            else:
+                score = [float(fn(dict(zip(names, v)), p, t, x)) for v, p, t, x in zip(flat.tolist(), given, terms, extra)]
+            logged = [[(a, str(b)) for a, b in x.items()] or None for x in extra]
             columns = [*(batch.column(c) for c in kept), pa.array(score, pa.float64()), pa.array(logged, pa.map_(pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, f"f{i}", f"x{i}"])
 

@@ -14,6 +14,7 @@ from .functions import templates
 from .operators import metrics, models, ranking
 from .operators.features import Feature, FeatureSet, evaluate, register_script
 from .sources.corpus import Corpus
+from .sources.folder import new_path
 from .sources.store import Stores, counts
 from .sources.training import svmrank_line, training_set
 
@@ -24,8 +25,17 @@ TERMS = sorted({t for k in KEYWORDS.values() for t in k.split()})
 MATCH = {"match": {"text": "{{keywords}}"}}
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", ["text"])
+    """The documents with an index, which a session builds once, in the shared folder, and all its queries read."""
+    docs, key = spark.read.parquet(f"{sf_dir}/documents.parquet"), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = new_path(spark, "index")
+        Corpus(docs, "doc_id", ["text"]).build(path)
+        _indexes[key] = path
+    return Corpus(docs, "doc_id", ["text"], _indexes[key])
 
 
 def _match(q: int) -> dict:
@@ -108,7 +118,7 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | No
 # Postings and statistics.
 _add(
     "postings_topterms",
-    lambda s, d: corpus(s, d).postings("text", TERMS).select("doc_id", "term", F.col("tf").cast("long").alias("tf"), F.array_min("positions").cast("long").alias("first_pos"), F.array_max("positions").cast("long").alias("last_pos")),
+    lambda s, d: corpus(s, d).postings("text", TERMS).select("doc_id", "term", F.col("tf").cast("long").alias("tf"), F.col("lo").cast("long").alias("first_pos"), F.col("hi").cast("long").alias("last_pos")),
     _sql("SELECT doc_id, term, tf::BIGINT AS tf, lo::BIGINT AS first_pos, hi::BIGINT AS last_pos FROM post"),
 )
 _add("term_stats_df_ttf", lambda s, d: corpus(s, d).term_stats("text").select("term", "df", "ttf"), _sql("SELECT term, count(DISTINCT doc_id) AS df, count(*) AS ttf FROM tok GROUP BY term"))

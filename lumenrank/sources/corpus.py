@@ -1,15 +1,33 @@
-"""Documents as postings and term statistics."""
+"""Documents, their statistics, and an inverted index of them.
+
+An index is a folder of three Parquet tables. ``postings`` has a row for each term of each document, with what scoring needs of its places, so that
+the places themselves are read by phrases only; ``terms`` has each term's statistics, ``fields`` each field's. Postings and terms lie in folders by
+field and by a bucket of the term's hash, sorted by term: a query opens the folders of its own terms and skips row groups by their bounds.
+A corpus without an index answers the same by scanning its text.
+"""
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analysis
 
+#: Terms that a Python worker takes at a time, or one document if that has more.
+SLICE_TERMS = 1 << 20
+#: Up to this many asked terms are written into the filters of a scan; more are joined.
+MAX_LISTED = 2000
+POSTING = "term string, tf int, n int, lo int, hi int, total long, dev double, positions array<int>"
+
 
 @dataclass(frozen=True)
 class FieldStats:
@@ -36,42 +54,148 @@ class FieldStats:
         return math.log(1 + (self.doc_count - self.df(term) + 0.5) / (self.df(term) + 0.5))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(pc.list_value_length(batch.column("t")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, done = 0, 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, done + SLICE_TERMS, side="right")))
+        yield batch.slice(start, end - start)
+        start, done = end, int(ends[end - 1])
+
+
+def _postings(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (id, term, ...) of documents (id, t): terms of a document are sorted by number, and runs of equal ones become rows."""
+    lists = batch.column("t")
+    n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n) + 1
+    key = doc * max(1, len(coded.dictionary)) + code
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    tf = np.diff(np.r_[first, len(key)])
+    total = np.add.reduceat(place, first) if len(first) else np.zeros(0, np.int64)
+    off = (place - np.repeat(total / tf, tf)) ** 2
+    dev = np.sqrt(np.add.reduceat(off, first) / tf) if len(first) else np.zeros(0)
+    at = order[first]
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("id").take(pa.array(doc[at])), coded.dictionary.take(pa.array(code[at])), pa.array(tf, pa.int32()), pa.array(n[doc[at]], pa.int32()),
+            pa.array(place[first], pa.int32()), pa.array(place[first + tf - 1], pa.int32()), pa.array(total, pa.int64()), pa.array(dev, pa.float64()),
+            pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)], pa.int32()), pa.array(place, pa.int32())),
+        ],
+        names=["doc_id", "term", "tf", "n", "lo", "hi", "total", "dev", "positions"],
+    )
+
+
 class Corpus:
-    """A DataFrame with an id and analyzed text fields. Statistics are always those of the whole corpus."""
+    """A DataFrame with an id, which no two documents share, and analyzed text fields. Statistics are always those of the whole corpus."""
 
-    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_fields: dict[str, str] | list[str] = ("text",)):
-        self.df, self.id_col = df, id_col
+    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_fields: dict[str, str] | list[str] = ("text",), index: str | None = None):
+        self.df, self.id_col, self.index = df, id_col, index
         self.analyzers = dict(text_fields) if isinstance(text_fields, dict) else dict.fromkeys(text_fields, "standard")
         self.types = dict(df.dtypes)
         for name in (id_col, *self.analyzers):
             if name not in self.types:
                 raise ValueError(f"no column [{name}]")
+        if index:
+            spark = df.sparkSession
+            key = f"doc_id {self.types[id_col]}"
+            self._index = spark.read.schema(f"{key}, {POSTING}, field string, bucket int").parquet(f"{index}/postings")
+            self._terms = spark.read.schema("term string, df long, ttf long, field string, bucket int").parquet(f"{index}/terms")
+            meta = spark.read.schema("field string, analyzer string, doc_count long, total_terms long, buckets int").parquet(f"{index}/fields").collect()  # a row a field
+            self._fields = {r["field"]: r for r in meta}
+            if any(self._fields[f]["analyzer"] != a for f, a in self.analyzers.items() if f in self._fields) or set(self.analyzers) - set(self._fields):
+                raise ValueError(f"the index at [{index}] has other fields or analyzers")
+
+    def build(self, path: str, buckets: int = 16) -> Corpus:
+        """Writes an index and returns the corpus with it. Text is read once.
+
+        A document's terms are counted where it is read, so each posting is shuffled once. A bucket is dealt to several tasks by document
+        (as many as there are shuffle partitions a bucket), so that the postings of one frequent term are not the work of one task.
+        """
+        spark = self.df.sparkSession
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+        bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
+        rows = reduce(DataFrame.unionByName, [self.postings(f, scan=True).withColumn("field", F.lit(f)) for f in self.analyzers])
+        rows = rows.withColumn("bucket", bucket).repartition(buckets * parts, "field", "bucket", F.pmod(F.hash("doc_id"), F.lit(parts)))
+        rows.sortWithinPartitions("field", "bucket", "term", "doc_id").write.partitionBy("field", "bucket").mode("overwrite").parquet(f"{path}/postings")
+        kept = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+        terms = kept.groupBy("field", "bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf"))
+        terms.repartition("field", "bucket").sortWithinPartitions("field", "bucket", "term").write.partitionBy("field", "bucket").mode("overwrite").parquet(f"{path}/terms")
+        # One term of each document that has any stands at its first place.
+        found = kept.groupBy("field").agg(F.count(F.when(F.col("lo") == 1, 1)).alias("doc_count"), F.sum("tf").alias("total_terms"))
+        names = spark.createDataFrame([(f, a) for f, a in self.analyzers.items()], "field string, analyzer string")
+        meta = names.join(found, "field", "left").select("field", "analyzer", F.coalesce("doc_count", F.lit(0)).alias("doc_count"), F.coalesce("total_terms", F.lit(0)).alias("total_terms"), F.lit(buckets).alias("buckets"))
+        meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
+        return Corpus(self.df, self.id_col, self.analyzers, path)
+
+    @classmethod
+    def load(cls, df: DataFrame, path: str, id_col: str = "doc_id") -> Corpus:
+        """The corpus of an index that was built before; ``df`` must hold the documents that it was built from."""
+        spark: SparkSession = df.sparkSession
+        fields = spark.read.parquet(f"{path}/fields").select("field", "analyzer").collect()
+        return cls(df, id_col, {r["field"]: r["analyzer"] for r in fields}, path)
 
     def tokens(self, field: str) -> Column:
         return analysis.tokens(F.col(field), self.analyzers[field])
 
-    def postings(self, field: str, terms: list[str] | None = None) -> DataFrame:
-        """(doc_id, term, tf, positions); positions from 1. With ``terms`` nothing is shuffled: each document finds its own."""
-        rows = self.df.select(F.col(self.id_col).alias("doc_id"), self.tokens(field).alias("t"))
+    def _listed(self, rows: DataFrame, name: str, terms: list[str] | None) -> DataFrame:
+        """Rows of a table of the index for a field and terms; bucket numbers make Spark open those folders only."""
+        rows = rows.where(F.col("field") == name)
         if terms is None:
-            placed = rows.select("doc_id", F.posexplode("t").alias("p", "term"))
-            return placed.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list(F.col("p") + 1)).alias("positions"))
-        rows = rows.select("doc_id", "t", F.explode(F.array_distinct(F.filter("t", lambda x: x.isin(list(terms))))).alias("term"))
-        return rows.select("doc_id", "term", analysis.term_frequency(F.col("t"), F.col("term")).alias("tf"), analysis.term_positions(F.col("t"), F.col("term")).alias("positions"))
+            return rows
+        if len(terms) > MAX_LISTED:
+            return rows.join(self.df.sparkSession.createDataFrame(pa.table({"term": pa.array(sorted(set(terms)), pa.string())})), "term", "left_semi")
+        buckets = sorted({zlib.crc32(t.encode()) % self._fields[name]["buckets"] for t in terms})
+        return rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
+
+    def postings(self, field: str, terms: list[str] | None = None, scan: bool = False) -> DataFrame:
+        """(doc_id, term, tf, n, lo, hi, total, dev, positions): times of the term, length of the document, and the first, last, sum,
+        deviation and list of its places, counted from 1. Nothing is shuffled: each document finds its own."""
+        columns = ["doc_id", "term", "tf", "n", "lo", "hi", "total", "dev", "positions"]
+        if self.index and not scan:
+            return self._listed(self._index, field, terms).select(*columns)
+        rows = self.df.select(F.col(self.id_col).alias("id"), self.tokens(field).alias("t"))
+        if terms is None:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for part in _slices(batch):
+                        yield _postings(part)
+
+            return rows.mapInArrow(run, f"doc_id {self.types[self.id_col]}, {POSTING}")
+        rows = rows.select("id", "t", F.explode(F.array_distinct(F.filter("t", lambda x: x.isin(list(terms))))).alias("term"))
+        rows = rows.select(F.col("id").alias("doc_id"), "term", F.size("t").alias("n"), analysis.term_positions(F.col("t"), F.col("term")).alias("positions"))
+        rows = rows.select("*", F.size("positions").alias("tf"), F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p).alias("total"))
+        mean = F.col("total") / F.col("tf")
+        dev = F.sqrt(F.aggregate("positions", F.lit(0.0), lambda a, p: a + (p - mean) * (p - mean)) / F.col("tf"))
+        return rows.select("*", F.element_at("positions", 1).alias("lo"), F.element_at("positions", -1).alias("hi"), dev.alias("dev")).select(*columns)
 
     def term_stats(self, field: str) -> DataFrame:
-        """(term, df, ttf) of all terms; a document's repeats are summed before the shuffle."""
-        rows = self.df.select(F.explode(self.tokens(field)).alias("term"), F.col(self.id_col).alias("doc_id"))
-        return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf"))
+        """(term, df, ttf) of all terms. Without an index a document's repeats are summed where it is read, and terms before the shuffle."""
+        if self.index:
+            return self._listed(self._terms, field, None).select("term", "df", "ttf")
+        return self.postings(field).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf"))
 
     def field_stats(self, field: str) -> DataFrame:
+        if self.index:
+            r = self._fields[field]
+            return self.df.sparkSession.createDataFrame([(field, r["doc_count"], r["total_terms"])], "field string, doc_count long, total_terms long")
         n = F.size(self.tokens(field))
         return self.df.agg(F.count(F.when(n > 0, 1)).alias("doc_count"), F.coalesce(F.sum(n), F.lit(0)).alias("total_terms")).select(F.lit(field).alias("field"), "doc_count", "total_terms")
 
     def stats(self, needed: dict[str, set[str]]) -> dict[str, FieldStats]:
-        """Statistics of the asked terms in one pass a field; what comes to the driver is bounded by the terms asked for."""
+        """Statistics of the asked terms; what comes to the driver is bounded by the terms asked for."""
         out = {}
         for name, terms in needed.items():
+            if self.index:
+                r = self._fields[name]
+                rows = self._listed(self._terms, name, sorted(terms)).select("term", "df", "ttf").collect() if terms else []
+                out[name] = FieldStats(r["doc_count"], r["total_terms"], {t["term"]: (t["df"], t["ttf"]) for t in rows})
+                continue
             tokens = self.tokens(name)
             rows = self.df.select(tokens.alias("t"))
             hit = F.filter("t", lambda x: x.isin(sorted(terms))) if terms else F.array().cast("array<string>")
