@@ -115,11 +115,15 @@ class Corpus:
 
         A document's terms are counted where it is read, so each posting is shuffled once. A bucket is dealt to several tasks by document
         (as many as there are shuffle partitions a bucket), so that the postings of one frequent term are not the work of one task.
+        A source of fewer splits than the session has cores is dealt anew first, so that all of them read terms.
         """
-        spark = self.df.sparkSession
+        spark, df = self.df.sparkSession, self.df
+        if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            df = df.select(self.id_col, *self.analyzers).repartition(spark.sparkContext.defaultParallelism)
+        dealt = Corpus(df, self.id_col, self.analyzers)
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
         bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
-        rows = reduce(DataFrame.unionByName, [self.postings(f, scan=True).withColumn("field", F.lit(f)) for f in self.analyzers])
+        rows = reduce(DataFrame.unionByName, [dealt.postings(f).withColumn("field", F.lit(f)) for f in self.analyzers])
         rows = rows.withColumn("bucket", bucket).repartition(buckets * parts, "field", "bucket", F.pmod(F.hash("doc_id"), F.lit(parts)))
         rows.sortWithinPartitions("field", "bucket", "term", "doc_id").write.partitionBy("field", "bucket").mode("overwrite").parquet(f"{path}/postings")
         kept = spark.read.schema(rows.schema).parquet(f"{path}/postings")
@@ -152,11 +156,11 @@ class Corpus:
         buckets = sorted({zlib.crc32(t.encode()) % self._fields[name]["buckets"] for t in terms})
         return rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
 
-    def postings(self, field: str, terms: list[str] | None = None, scan: bool = False) -> DataFrame:
+    def postings(self, field: str, terms: list[str] | None = None) -> DataFrame:
         """(doc_id, term, tf, n, lo, hi, total, dev, positions): times of the term, length of the document, and the first, last, sum,
         deviation and list of its places, counted from 1. Nothing is shuffled: each document finds its own."""
         columns = ["doc_id", "term", "tf", "n", "lo", "hi", "total", "dev", "positions"]
-        if self.index and not scan:
+        if self.index:
             return self._listed(self._index, field, terms).select(*columns)
         rows = self.df.select(F.col(self.id_col).alias("id"), self.tokens(field).alias("t"))
         if terms is None:
