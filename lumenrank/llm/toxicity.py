@@ -3,11 +3,11 @@
 Terms are words and, for longer words, their four-letter stems: all that the labelled examples have. Document frequencies
 of these terms are counted over all documents. Labelled examples are indexed over all their terms, with each block's largest weight of
 each term; a query visits the blocks of the highest upper bounds, then all others whose bound can improve its ``K`` best, so the
-neighbours are exact. A second index holds only the terms that go with label 1 (a G-test over distinct examples) and votes
-beside the first; it takes nothing from it. Votes weighted by cosine are calibrated by a logistic fit on examples that are not
+neighbours are exact. What the commonest terms give to all cosines is one matrix product a batch. A second index holds only the terms that go
+with label 1 (a G-test over distinct examples) and votes beside the first; it takes nothing from it. Votes weighted by cosine are calibrated by a logistic fit on examples that are not
 in the index that they ask, weighted to the classes' true shares.
 
-Bounds: at most ``PER_CLASS`` examples a class, and ``MAX_TERMS`` terms in the second index. A query's terms that no labelled example has match
+Bounds: at most ``PER_CLASS`` examples a class. A query's terms that no labelled example has match
 none and are in no norm, which scales all its cosines alike. Null text counts as empty; texts without a known term
 have no neighbours and get the calibrated score of no votes. Repeated rows get equal scores, null ids pass
 through. Without labels of both classes every score is the share of label 1 (0.5 without labels).
@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,12 @@ from . import common
 from .quality import labelled
 
 PER_CLASS = 3000
-MAX_TERMS = 8192
 K = 16
-BLOCK, FIRST = 64, 8
+BLOCK, FIRST, BATCH = 64, 8, 256
+#: Terms that a larger share of the examples has are a matrix instead of postings.
+HEAVY = 0.05
+#: Above the rounding of products of 32 bits.
+MARGIN = 1e-5
 MIN_G = 20.0
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -46,15 +49,14 @@ def _stem(word: str) -> str:
     return word[:4] + "*" if len(word) > 5 else ""
 
 
-def choose_terms(rows: list[tuple[str, int, int]], max_terms: int = MAX_TERMS, min_g: float = MIN_G) -> list[str]:
-    """Terms over-represented in label 1 by the G statistic. Examples that share their three lowest word hashes count once."""
+def choose_terms(rows: list[tuple[str, int, int]], min_g: float = MIN_G) -> list[str]:
+    """Terms over-represented in label 1 by the G statistic. Examples of the same words count once."""
     counts, n, seen = (Counter(), Counter()), [0, 0], set()
     for text, y, _ in rows:
-        ws = set(words(text))
-        key = (y, *sorted(zlib.crc32(w.encode()) for w in ws)[:3])
-        if key in seen:
+        ws = frozenset(words(text))
+        if (y, ws) in seen:
             continue
-        seen.add(key)
+        seen.add((y, ws))
         n[y] += 1
         counts[y].update(ws | ({_stem(w) for w in ws} - {""}))
     found = []
@@ -67,17 +69,27 @@ def choose_terms(rows: list[tuple[str, int, int]], max_terms: int = MAX_TERMS, m
             if seen_n:
                 g += 2 * seen_n * math.log(seen_n / (total * share))
         if g >= min_g:
-            found.append((-g, term))
-    return [t for _, t in sorted(found)[:max_terms]]
+            found.append(term)
+    return sorted(found)
 
 
-def term_counts(text: str, ids: dict[str, int]) -> dict[int, int]:
+class Terms(dict):
+    """Word to the numbers of its terms (itself and its stem, where the model has them), remembered as words come up, up to a bound."""
+
+    def __init__(self, ids: dict[str, int], keep: int = 1 << 18):
+        self.ids, self.keep = ids, keep
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = tuple(i for i in (self.ids.get(word), self.ids.get(_stem(word))) if i is not None)
+        if len(self) < self.keep:
+            self[word] = found
+        return found
+
+
+def term_counts(text: str, terms: Terms) -> dict[int, int]:
     out: dict[int, int] = {}
-    get = ids.get
     for w, n in Counter(words(text)).items():
-        if (i := get(w)) is not None:
-            out[i] = out.get(i, 0) + n
-        if len(w) > 5 and (i := get(w[:4] + "*")) is not None:
+        for i in terms[w]:
             out[i] = out.get(i, 0) + n
     return out
 
@@ -87,13 +99,13 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
     ids = {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(ids) + 1, np.int64), 0
+        df, known = np.zeros(len(ids) + 1, np.int64), Terms(ids)
         for batch in common.slices(batches, "t"):
-            n += batch.num_rows
+            found: list[int] = []
             for text in common.texts(batch, "t"):
-                for i in term_counts(text, ids):
-                    df[i] += 1
-        df[-1] = n
+                found.extend({i for w in set(words(text)) for i in known[w]})
+            df[:-1] += np.bincount(np.array(found, np.int64), minlength=len(ids))
+            df[-1] += batch.num_rows
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["i", "n"])
 
@@ -113,7 +125,10 @@ def _spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Block-max inverted index over weighted example vectors; ``ids`` carries what evidence shows.
 
-    Postings are sorted by term and row. An entry is what a block has of a term: ``entries`` says where a term's begin, ``postings`` where an entry's begin.
+    Terms that more than ``HEAVY`` of the examples have would make each query visit every block; their weights are a matrix, and what they give
+    to each cosine is one product for a batch of queries. All other terms have postings, sorted by term and row. An entry is what a block has of
+    a term: ``entries`` says where a term's begin, ``postings`` where an entry's begin. A block's bound is the largest product of its rows plus
+    the entries' largest weights.
     """
 
     idf: np.ndarray
@@ -125,63 +140,109 @@ class Index:
     postings: np.ndarray
     rows: np.ndarray
     weights: np.ndarray
+    column: np.ndarray
+    cells: np.ndarray
+    values: np.ndarray
 
     @classmethod
-    def build(cls, vectors: list[dict[int, int]], labels: list[int], ids: list[int], idf: np.ndarray) -> Index:
+    def build(cls, vectors: list[dict[int, int]], labels: list[int], ids: list[int], idf: np.ndarray, heavy: float = HEAVY) -> Index:
         keep = [i for i, v in enumerate(vectors) if v]
         weighed = [cls.weigh_by(idf, vectors[i]) for i in keep]
         rows = np.repeat(np.arange(len(keep), dtype=np.int32), [len(v) for v in weighed])
         terms = np.array([t for v in weighed for t in v], np.int64)
         weights = np.array([w for v in weighed for w in v.values()], float)
+        often = np.bincount(terms, minlength=len(idf)) > heavy * len(keep)
+        column = np.where(often, np.cumsum(often) - 1, -1)
+        at = often[terms]
+        cells, values = np.stack([rows[at], column[terms[at]].astype(np.int32)]), weights[at]
+        rows, terms, weights = rows[~at], terms[~at], weights[~at]
         order = np.lexsort((rows, terms))
         rows, terms, weights = rows[order], terms[order], weights[order]
-        block = rows // BLOCK
+        block = (rows // BLOCK).astype(np.int64)
         head = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])[: len(rows)])
         most = np.maximum.reduceat(weights, head) if len(head) else weights
         entries = np.searchsorted(terms[head], np.arange(len(idf) + 1))
         own = np.array([labels[i] for i in keep], float), np.array([ids[i] for i in keep], np.int64)
-        return cls(idf, *own, entries, block[head], most, np.concatenate([head, [len(rows)]]), rows, weights)
+        return cls(idf, *own, entries, block[head], most, np.concatenate([head, [len(rows)]]), rows.astype(np.int64), weights, column, cells, values)
 
     @staticmethod
     def weigh_by(idf: np.ndarray, counts: dict[int, int]) -> dict[int, float]:
+        t, w = Index._vector(idf, counts)
+        return dict(zip(t.tolist(), w.tolist()))
+
+    @staticmethod
+    def _vector(idf: np.ndarray, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.fromiter(counts, np.int64, len(counts))
         w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * idf[t]
         norm = math.sqrt(w @ w)
-        return dict(zip(t.tolist(), (w / norm).tolist())) if norm else {}
+        return (t, w / norm) if norm else (t[:0], w[:0])
 
     def weigh(self, counts: dict[int, int]) -> dict[int, float]:
         return self.weigh_by(self.idf, counts)
 
+    @cached_property
+    def heavy(self) -> np.ndarray:
+        """Examples by heavy terms, made where it is used."""
+        matrix = np.zeros((len(self.ids), int(self.column.max(initial=-1)) + 1))
+        matrix[self.cells[0], self.cells[1]] = self.values
+        return matrix
+
+    @cached_property
+    def _product(self) -> np.ndarray:
+        return np.ascontiguousarray(self.heavy.T, np.float32)
+
     def nearest(self, counts: dict[int, int], k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k best examples, exact; ties go to the smaller row."""
-        q = self.weigh(counts)
-        if not q or not len(self.ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.fromiter(q, np.int64, len(q))
-        e, n = _spans(self.entries[terms], self.entries[terms + 1])
-        w, blocks = np.repeat(np.fromiter(q.values(), float, len(q)), n), self.blocks[e]
-        bound = np.bincount(blocks, w * self.block_max[e], -(-len(self.ids) // BLOCK))
+        return next(self.nearest_of([counts], k))
+
+    def nearest_of(self, queries: list[dict[int, int]], k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for many. Products are of 32 bits and choose candidates with a margin for rounding; cosines of candidates are summed in doubles."""
+        for start in range(0, len(queries), BATCH):
+            vectors = [self._vector(self.idf, c) for c in queries[start : start + BATCH]]
+            if not len(self.ids):
+                yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in vectors)
+                continue
+            q = np.zeros((len(vectors), self.heavy.shape[1]), np.float32)
+            for i, (t, w) in enumerate(vectors):
+                at = self.column[t] >= 0
+                q[i, self.column[t[at]]] = w[at]
+            products = q @ self._product
+            tops = np.maximum.reduceat(products, np.arange(0, len(self.ids), BLOCK), axis=1)
+            for (t, w), product, top in zip(vectors, products, tops):
+                yield self._best(t, w, product, top, k)
+
+    def _best(self, terms: np.ndarray, weights: np.ndarray, product: np.ndarray, top: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        common_ = self.column[terms] >= 0
+        light, lw = terms[~common_], weights[~common_]
+        e, n = _spans(self.entries[light], self.entries[light + 1])
+        w, blocks = np.repeat(lw, n), self.blocks[e]
+        bound = top + np.bincount(blocks, w * self.block_max[e], len(top))
         todo = np.zeros(len(bound), bool)
         todo[np.argsort(-bound, kind="stable")[:FIRST]] = True
-        sims, floor = np.zeros(len(self.ids)), 0.0
+        sims, visited, floor = np.zeros(len(self.ids)), todo.copy(), 0.0
         for last in (False, True):  # the blocks of the highest bounds, then all others that can improve on them
             at = np.flatnonzero(todo[blocks])
             p, n = _spans(self.postings[e[at]], self.postings[e[at] + 1])
-            sims += np.bincount(self.rows[p], np.repeat(w[at], n) * self.weights[p], len(sims))
+            if len(p):
+                sims += np.bincount(self.rows[p], np.repeat(w[at], n) * self.weights[p], len(sims))
+            whole = np.where(np.repeat(visited, BLOCK)[: len(sims)], sims + product, 0.0)
             if len(sims) > k:
-                floor = np.partition(sims, len(sims) - k)[len(sims) - k]
+                floor = max(0.0, np.partition(whole, len(sims) - k)[len(sims) - k] - MARGIN)
             if not last:
-                todo = ~todo & (bound > 0) & (bound >= floor - 1e-12)
+                todo = ~visited & (bound > 0) & (bound >= floor - MARGIN)
                 if not todo.any():
                     break
-        hit = np.flatnonzero((sims > 0) & (sims >= floor - 1e-11))
-        best = hit[np.lexsort((hit, -np.round(sims[hit], 12)))[:k]]
-        return best, sims[best]
+                visited |= todo
+        hit = np.flatnonzero((whole > 0) & (whole >= floor - MARGIN))
+        exact = sims[hit] + self.heavy[np.ix_(hit, self.column[terms[common_]])] @ weights[common_]
+        hit, exact = hit[exact > 1e-12], exact[exact > 1e-12]
+        best = np.lexsort((hit, -np.round(exact, 12)))[:k]
+        return hit[best], exact[best]
 
-    def votes(self, counts: dict[int, int]) -> tuple[float, float, np.ndarray, np.ndarray]:
-        rows, sims = self.nearest(counts)
-        y = self.labels[rows] if len(rows) else np.zeros(0)
-        return float((sims * y).sum()) / K, float((sims * (1 - y)).sum()) / K, rows, sims
+    def votes_of(self, queries: list[dict[int, int]]) -> Iterator[tuple[float, float, np.ndarray, np.ndarray]]:
+        for rows, sims in self.nearest_of(queries):
+            y = self.labels[rows]
+            yield float((sims * y).sum()) / K, float((sims * (1 - y)).sum()) / K, rows, sims
 
 
 @dataclass
@@ -212,7 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     idf = np.log((n + 1) / (df + 1)) + 1
     ids = {t: i for i, t in enumerate(terms)}
     flags = {ids[t] for t in choose_terms(rows)}
-    vectors = [term_counts(t, ids) for t, _, _ in rows]
+    known = Terms(ids)
+    vectors = [term_counts(t, known) for t, _, _ in rows]
     views = (vectors, [_among(v, flags) for v in vectors])
     y = np.array([k for _, k, _ in rows], float)
     names = [i for _, _, i in rows]
@@ -222,8 +284,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
         other = np.flatnonzero(fold != side)
         for at, view in zip((0, 2), views):
             index = Index.build([view[i] for i in other], [int(y[i]) for i in other], [names[i] for i in other], idf)
-            for i in np.flatnonzero(fold == side):
-                x[i, at : at + 2] = index.votes(view[i])[:2]
+            mine = np.flatnonzero(fold == side)
+            x[mine, at : at + 2] = [v[:2] for v in index.votes_of([view[i] for i in mine])]
     share = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum()))
     beta = common.logistic(x * 4, y, share * len(y), ridge=0.05)
     index, flagged = (Index.build(view, y.astype(int).tolist(), names, idf) for view in views)
@@ -236,21 +298,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{out_col}` double" + ", evidence array<string>" * evidence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {t: i for i, t in enumerate(model.terms)}
-        beta = np.array(model.beta)
+        known, beta = Terms({t: i for i, t in enumerate(model.terms)}), np.array(model.beta)
         for batch in common.slices(batches, text_col):
-            p, why = [], []
-            for text in common.texts(batch, text_col):
-                if model.index is None:
-                    p.append(model.prior)
-                    why.append([])
-                    continue
-                counts = term_counts(text, ids)
-                a, b, rows, sims = model.index.votes(counts) if counts else (0.0, 0.0, [], [])
-                c, d = model.flagged.votes(_among(counts, model.flags))[:2]
-                p.append(float(common.sigmoid(np.array([4 * a, 4 * b, 4 * c, 4 * d, 1.0]) @ beta)))
-                top = sorted(model.index.weigh(counts).items(), key=lambda x: (-x[1], x[0]))[:3] if evidence and counts else []
-                why.append([f"{model.terms[t]}:{w:.3f}" for t, w in top] + [f"doc {model.index.ids[r]}:{s:.3f}:{int(model.index.labels[r])}" for r, s in list(zip(rows, sims))[:3]])
+            p, why = [model.prior] * batch.num_rows, [[]] * batch.num_rows
+            if model.index is not None:
+                p, why = [], []
+                counts = [term_counts(text, known) for text in common.texts(batch, text_col)]
+                for own, (a, b, rows, sims), (c, d, *_) in zip(counts, model.index.votes_of(counts), model.flagged.votes_of([_among(x, model.flags) for x in counts])):
+                    p.append(float(common.sigmoid(np.array([4 * a, 4 * b, 4 * c, 4 * d, 1.0]) @ beta)))
+                    if evidence:
+                        t, w = model.index._vector(model.index.idf, own)
+                        top = sorted(zip((-w).tolist(), t.tolist()))[:3]
+                        why.append([f"{model.terms[i]}:{-x:.3f}" for x, i in top] + [f"doc {model.index.ids[r]}:{s:.3f}:{int(model.index.labels[r])}" for r, s in list(zip(rows, sims))[:3]])
             extra = [pa.array(p, pa.float64())] + [pa.array(why, pa.list_(pa.string()))] * evidence
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, out_col, *["evidence"] * evidence])
 

@@ -50,11 +50,12 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert quality.fit(docs, labels) == quality.fit(docs, flipped)
 
 
-def test_block_max_is_exact():
+@pytest.mark.parametrize("heavy", [0.0, 0.1, 1.0])
+def test_block_max_is_exact(heavy):
     rnd = random.Random(8)
     vectors = [{rnd.randrange(40): rnd.randint(1, 5) for _ in range(rnd.randint(0, 8))} for _ in range(700)]
     idf = np.array([rnd.uniform(1, 5) for _ in range(40)])
-    index = toxicity.Index.build(vectors, [rnd.randrange(2) for _ in vectors], list(range(700)), idf)
+    index = toxicity.Index.build(vectors, [rnd.randrange(2) for _ in vectors], list(range(700)), idf, heavy)
     for _ in range(60):
         q = {rnd.randrange(40): rnd.randint(1, 5) for _ in range(rnd.randint(1, 6))}
         w = index.weigh(q)
