@@ -2,11 +2,13 @@
 
 Two zstandard dictionaries are built from good and bad labelled texts. A text is cut into pieces of
 ``PIECE`` bytes (all of them), each is compressed with either dictionary, and the normalised difference of the sums,
-``(good - bad) / (good + bad)``, goes, with the mean compressed share of the text's size, through a logistic calibration fitted on
+``(good - bad) / (good + bad)``, goes, with the larger compressed size's share of the text's, through a logistic calibration fitted on
 labelled texts that the dictionaries have not seen, weighted to the classes' true shares. The share tells texts that compress
-well with either dictionary, such as one word over and over.
+well with either dictionary, such as one word over and over. A text that a dictionary remembers compresses far better than any that calibration
+saw: so the share is that of the dictionary that knows the text less, both inputs are held to the range that calibration saw, and the score
+never rises with the difference.
 
-Bounds: at most ``PER_CLASS`` whole texts of each class are learned from, chosen by a hash of the text's row;
+Bounds: at most ``PER_CLASS`` whole texts of each class and ``MAX_BYTES`` of them are learned from, chosen by a hash of the row's id;
 class shares are counted over all labelled rows. Null text counts as empty; empty texts get the calibrated score of difference 0 and share one half.
 Repeated rows each get the same score, null ids pass through, other columns are not inputs. Without labels of both classes
 every score is the share of label 1 (0.5 without labels). No documents, no rows.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PER_CLASS = 2000
+#: Bytes of text that a fit may bring to the driver; examples that would go beyond are not in the sample.
+MAX_BYTES = 256 << 20
 PIECE = 1024
 DICT_BYTES = 112640
 LEVEL = 3
@@ -38,6 +42,8 @@ class Model:
     bad: bytes
     beta: tuple[float, ...]
     prior: float
+    low: tuple[float, float] = (0.0, 0.0)
+    high: tuple[float, float] = (0.0, 0.0)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int, int]], tuple[int, int]]:
@@ -48,14 +54,24 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int,
     for y in (0, 1):
         part = may.where(F.col("y") == y).orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
-    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("i").isNotNull())
-    rows = texts.join(F.broadcast(picked), "i").select("i", "t", "y").collect()  # at most 2 * per_class ids are broadcast
-    seen, out = set(), []
-    for r in sorted(rows, key=lambda r: ((r["i"] * 0x9E3779B97F4A7C15 + seed) & (2**64 - 1), r["y"])):
-        if (key := (r["t"] or "", r["y"])) not in seen:
-            seen.add(key)
-            out.append((*key, r["i"]))
-    return out, (counts.get(0, 0), counts.get(1, 0))
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).where(F.col("i").isNotNull())
+    rows = texts.join(F.broadcast(picked.distinct()), "i")  # at most 2 * per_class ids are broadcast
+    # Equal texts of a label count once, by their smallest id; of an id's different texts the one of the smallest hash is taken.
+    rows = rows.withColumns({"h": F.sha2("t", 256), "b": F.octet_length("t").cast("long")})
+    order = F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 62))
+    one = rows.select("i", "y", "h", "b").groupBy("i", "y").agg(F.min(F.struct("h", "b")).alias("m")).groupBy("y", "m").agg(F.min(F.struct(order.alias("o"), F.col("i"))).alias("k"))
+    chosen, total = [], 0
+    for r in sorted(one.collect(), key=lambda r: (r["k"]["o"], r["k"]["i"], r["y"])):  # at most 2 * per_class rows without texts
+        if total + r["m"]["b"] <= MAX_BYTES:
+            total += r["m"]["b"]
+            chosen.append((r["k"]["i"], r["y"], r["m"]["h"]))
+    if not chosen:
+        return [], (counts.get(0, 0), counts.get(1, 0))
+    table = docs.sparkSession.createDataFrame(chosen, "i long, y int, h string")
+    found = rows.drop("y").join(F.broadcast(table), ["i", "h"]).select("i", "y", "t").distinct().collect()
+    place = {(i, y): n for n, (i, y, _) in enumerate(chosen)}
+    found.sort(key=lambda r: place[r["i"], r["y"]])
+    return [(r["t"], r["y"], r["i"]) for r in found], (counts.get(0, 0), counts.get(1, 0))
 
 
 def _pieces(text: str, size: int = PIECE) -> list[bytes]:
@@ -83,12 +99,12 @@ class Scorer:
             self._c.append(zstd.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def sizes(self, text: str) -> tuple[float, float]:
-        """Normalised compressed-size difference of the whole text, below 0 for good text, and the mean compressed share."""
+        """Normalised compressed-size difference of the whole text, below 0 for good text, and the larger compressed share."""
         pieces = _pieces(text)
         if not pieces:
             return 0.0, 0.5
         a, b = (sum(len(c.compress(p)) for p in pieces) for c in self._c)
-        return (a - b) / (a + b), (a + b) / (2 * sum(map(len, pieces)))
+        return (a - b) / (a + b), max(a, b) / sum(map(len, pieces))
 
 
 def _inputs(x: np.ndarray) -> np.ndarray:
@@ -97,6 +113,19 @@ def _inputs(x: np.ndarray) -> np.ndarray:
     return np.column_stack([z, np.maximum(z, 0), np.minimum(z + 1, 0), share, np.minimum(share + 1.2, 0), np.minimum(share + 1.8, 0)])
 
 
+def _calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weights of ``_inputs``; a part that would let the score rise with the difference is left out, and the rest fitted again."""
+    a = _inputs(x)
+    live = np.ones(a.shape[1], bool)
+    while True:
+        beta = np.zeros(a.shape[1] + 1)
+        beta[np.append(live, True)] = common.logistic(a[:, live], y, w, ridge=0.05)
+        wrong = [i for i in (1, 2) if live[i] and beta[0] + beta[i] > 0] or [0] * bool(live[0] and beta[0] > 0)
+        if not wrong:
+            return beta
+        live[wrong] = False
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, seed: int = 9) -> Model:
     rows, (n0, n1) = labelled(docs, labels, label_col, per_class, seed)
     prior = n1 / (n0 + n1) if n0 + n1 else 0.5
@@ -109,8 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_clas
     x = np.array([s.sizes(t) for y in (0, 1) for t in half[y][1]])
     y = np.array([k for k in (0, 1) for _ in half[k][1]], float)
     share = np.where(y == 1, prior / max(1, len(half[1][1])), (1 - prior) / max(1, len(half[0][1])))
-    beta = common.logistic(_inputs(x), y, share * len(y), ridge=0.05)
-    return Model(good, bad, tuple(beta), prior)
+    return Model(good, bad, tuple(_calibrate(x, y, share * len(y)).tolist()), prior, tuple(x.min(axis=0).tolist()), tuple(x.max(axis=0).tolist()))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -122,7 +150,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
         s = Scorer(model.good, model.bad) if model.beta else None
         for batch in common.slices(batches, text_col):
             if s:
-                x = _inputs(np.array([s.sizes(t) for t in common.texts(batch, text_col)]))
+                x = _inputs(np.clip([s.sizes(t) for t in common.texts(batch, text_col)], model.low, model.high))
                 p = common.sigmoid(np.column_stack([x, np.ones(len(x))]) @ np.array(model.beta))
             else:
                 p = np.full(batch.num_rows, model.prior)

@@ -151,3 +151,28 @@ def test_canonical_json():
     assert toolcalls.canonical({"b": 1.0, "a": [True, None, 1.5, "é\n"]}) == '{"a":[true,null,1.5,"é\\n"],"b":1}'
     with pytest.raises(ValueError):
         toolcalls.canonical(float("nan"))
+
+
+def test_quality_of_rows_that_the_dictionaries_hold(spark):
+    """Texts inside a dictionary, those of the calibration and those never seen are all judged alike, also where few texts fill a dictionary."""
+    rnd = random.Random(12)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(4000)]
+    docs, labels = [], []
+    for i in range(500):
+        bad, w = i % 7 == 1, rnd.choices(vocab, k=rnd.randint(40, 120))
+        docs.append((i, " ".join(x.upper() + "!!" for x in w[:30]) * 3 if bad else " ".join(w)))
+        labels.append((i, int(not bad)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    wrong = [i for i, s in got.items() if (s >= quality.THRESHOLD) != (i % 7 != 1)]
+    assert not wrong
+
+
+def test_sample_counts_equal_texts_once(spark):
+    docs = spark.createDataFrame([(1, "same"), (2, "same"), (3, "other"), (3, "third"), (3, "third"), (4, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 0), (4, 0), (9, 1), (None, 1)], "doc_id long, quality int")
+    labels = labels.withColumn("doc_id", labels["doc_id"] * 1)
+    rows, counts = quality.labelled(docs, labels, "quality", 100, 1)
+    may = {r["doc_id"] for r in labels.where(~common.held_out(labels["doc_id"])).collect()}
+    assert len(rows) == len({(t, y) for t, y, _ in rows}) == len({(i, y) for _, y, i in rows})
+    assert {i for *_, i in rows} <= may and {y for _, y, _ in rows} <= {0, 1}
