@@ -15,6 +15,7 @@ through. Without labels of both classes every score is the share of label 1 (0.5
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -34,7 +35,7 @@ PER_CLASS = 3000
 K = 16
 BLOCK, FIRST, BATCH = 64, 8, 256
 #: Terms that a larger share of the examples has are a matrix instead of postings.
-HEAVY = 0.05
+HEAVY = 0.03
 #: Above the rounding of products of 32 bits.
 MARGIN = 1e-5
 MIN_G = 20.0
@@ -53,10 +54,11 @@ def choose_terms(rows: list[tuple[str, int, int]], min_g: float = MIN_G) -> list
     """Terms over-represented in label 1 by the G statistic. Examples of the same words count once."""
     counts, n, seen = (Counter(), Counter()), [0, 0], set()
     for text, y, _ in rows:
-        ws = frozenset(words(text))
-        if (y, ws) in seen:
+        ws = set(words(text))
+        key = y, hashlib.sha256(" ".join(sorted(ws)).encode("utf-8", "surrogatepass")).digest()
+        if key in seen:
             continue
-        seen.add((y, ws))
+        seen.add(key)
         n[y] += 1
         counts[y].update(ws | ({_stem(w) for w in ws} - {""}))
     found = []
@@ -86,12 +88,15 @@ class Terms(dict):
         return found
 
 
-def term_counts(text: str, terms: Terms) -> dict[int, int]:
+Counts = tuple[np.ndarray, np.ndarray]  # numbers of terms, and how often each occurs
+
+
+def term_counts(text: str, terms: Terms) -> Counts:
     out: dict[int, int] = {}
     for w, n in Counter(words(text)).items():
         for i in terms[w]:
             out[i] = out.get(i, 0) + n
-    return out
+    return np.fromiter(out, np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -145,41 +150,34 @@ class Index:
     values: np.ndarray
 
     @classmethod
-    def build(cls, vectors: list[dict[int, int]], labels: list[int], ids: list[int], idf: np.ndarray, heavy: float = HEAVY) -> Index:
-        keep = [i for i, v in enumerate(vectors) if v]
-        weighed = [cls.weigh_by(idf, vectors[i]) for i in keep]
-        rows = np.repeat(np.arange(len(keep), dtype=np.int32), [len(v) for v in weighed])
-        terms = np.array([t for v in weighed for t in v], np.int64)
-        weights = np.array([w for v in weighed for w in v.values()], float)
+    def build(cls, vectors: list[Counts], labels: list[int], ids: list[int], idf: np.ndarray, heavy: float = HEAVY) -> Index:
+        keep = [i for i, v in enumerate(vectors) if len(v[0])]
+        rows = np.repeat(np.arange(len(keep), dtype=np.int32), [len(vectors[i][0]) for i in keep])
+        none = np.zeros(0, np.int32)
+        terms = np.concatenate([none, *(vectors[i][0] for i in keep)])
+        weights = (1 + np.log(np.concatenate([none, *(vectors[i][1] for i in keep)]))) * idf[terms]
+        weights /= np.sqrt(np.bincount(rows, weights * weights, len(keep)))[rows]
         often = np.bincount(terms, minlength=len(idf)) > heavy * len(keep)
-        column = np.where(often, np.cumsum(often) - 1, -1)
+        column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         at = often[terms]
-        cells, values = np.stack([rows[at], column[terms[at]].astype(np.int32)]), weights[at]
+        cells, values = np.stack([rows[at], column[terms[at]]]), weights[at]
         rows, terms, weights = rows[~at], terms[~at], weights[~at]
         order = np.lexsort((rows, terms))
         rows, terms, weights = rows[order], terms[order], weights[order]
-        block = (rows // BLOCK).astype(np.int64)
+        block = rows // BLOCK
         head = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])[: len(rows)])
         most = np.maximum.reduceat(weights, head) if len(head) else weights
         entries = np.searchsorted(terms[head], np.arange(len(idf) + 1))
         own = np.array([labels[i] for i in keep], float), np.array([ids[i] for i in keep], np.int64)
-        return cls(idf, *own, entries, block[head], most, np.concatenate([head, [len(rows)]]), rows.astype(np.int64), weights, column, cells, values)
+        return cls(idf, *own, entries, block[head], most, np.concatenate([head, [len(rows)]]), rows, weights, column, cells, values)
 
-    @staticmethod
-    def weigh_by(idf: np.ndarray, counts: dict[int, int]) -> dict[int, float]:
-        t, w = Index._vector(idf, counts)
-        return dict(zip(t.tolist(), w.tolist()))
-
-    @staticmethod
-    def _vector(idf: np.ndarray, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * idf[t]
+    def weigh(self, counts: Counts) -> Counts:
+        """Terms and weights of a vector of length 1."""
+        t, n = counts
+        w = (1 + np.log(n)) * self.idf[t]
         norm = math.sqrt(w @ w)
         return (t, w / norm) if norm else (t[:0], w[:0])
 
-    def weigh(self, counts: dict[int, int]) -> dict[int, float]:
-        return self.weigh_by(self.idf, counts)
-
     @cached_property
     def heavy(self) -> np.ndarray:
         """Examples by heavy terms, made where it is used."""
@@ -191,88 +189,105 @@ class Index:
     def _product(self) -> np.ndarray:
         return np.ascontiguousarray(self.heavy.T, np.float32)
 
-    def nearest(self, counts: dict[int, int], k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, counts: Counts, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k best examples, exact; ties go to the smaller row."""
-        return next(self.nearest_of([counts], k))
+        return next(self.nearest_of([counts], k))[:2]
 
-    def nearest_of(self, queries: list[dict[int, int]], k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The same for many. Products are of 32 bits and choose candidates with a margin for rounding; cosines of candidates are summed in doubles."""
+    def nearest_of(self, queries: list[Counts], k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray, Counts]]:
+        """The same for many, with each query's weights. Products are of 32 bits and choose candidates with a margin for rounding; cosines of candidates are summed in doubles."""
         for start in range(0, len(queries), BATCH):
-            vectors = [self._vector(self.idf, c) for c in queries[start : start + BATCH]]
-            if not len(self.ids):
-                yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in vectors)
-                continue
-            q = np.zeros((len(vectors), self.heavy.shape[1]), np.float32)
-            for i, (t, w) in enumerate(vectors):
-                at = self.column[t] >= 0
-                q[i, self.column[t[at]]] = w[at]
-            products = q @ self._product
-            tops = np.maximum.reduceat(products, np.arange(0, len(self.ids), BLOCK), axis=1)
-            for (t, w), product, top in zip(vectors, products, tops):
-                yield self._best(t, w, product, top, k)
-
-    def _best(self, terms: np.ndarray, weights: np.ndarray, product: np.ndarray, top: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        common_ = self.column[terms] >= 0
-        light, lw = terms[~common_], weights[~common_]
+            vectors = [self.weigh(c) for c in queries[start : start + BATCH]]
+            some = [i for i, (t, _) in enumerate(vectors) if len(t) and len(self.ids)]
+            q = np.zeros((len(some), self.heavy.shape[1]), np.float32)
+            for row, i in enumerate(some):
+                c = self.column[vectors[i][0]]
+                q[row, c[c >= 0]] = vectors[i][1][c >= 0]
+            products, row = q @ self._product, iter(range(len(some)))
+            for t, w in vectors:
+                if len(t) and len(self.ids):
+                    yield *self._best(t, w, products[next(row)], k), (t, w)
+                else:
+                    yield np.zeros(0, np.int64), np.zeros(0), (t, w)
+
+    def _best(self, terms: np.ndarray, weights: np.ndarray, product: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n_blocks = -(-len(self.ids) // BLOCK)
+        column = self.column[terms]
+        light, lw = terms[column < 0], weights[column < 0]
         e, n = _spans(self.entries[light], self.entries[light + 1])
         w, blocks = np.repeat(lw, n), self.blocks[e]
-        bound = top + np.bincount(blocks, w * self.block_max[e], len(top))
-        todo = np.zeros(len(bound), bool)
+        bound = np.maximum.reduceat(product, np.arange(0, len(product), BLOCK)) + np.bincount(blocks, w * self.block_max[e], n_blocks)
+        sims = np.zeros(n_blocks * BLOCK)
+        sims[: len(product)] = product
+        sims[len(product) :] = -1.0
+        light_sims, by_block = np.zeros(n_blocks * BLOCK), sims.reshape(n_blocks, BLOCK)
+        todo, floor = np.zeros(n_blocks, bool), 0.0
         todo[np.argsort(-bound, kind="stable")[:FIRST]] = True
-        sims, visited, floor = np.zeros(len(self.ids)), todo.copy(), 0.0
+        visited = todo
         for last in (False, True):  # the blocks of the highest bounds, then all others that can improve on them
             at = np.flatnonzero(todo[blocks])
-            p, n = _spans(self.postings[e[at]], self.postings[e[at] + 1])
-            if len(p):
-                sims += np.bincount(self.rows[p], np.repeat(w[at], n) * self.weights[p], len(sims))
-            whole = np.where(np.repeat(visited, BLOCK)[: len(sims)], sims + product, 0.0)
-            if len(sims) > k:
-                floor = max(0.0, np.partition(whole, len(sims) - k)[len(sims) - k] - MARGIN)
+            if len(at):
+                p, n = _spans(self.postings[e[at]], self.postings[e[at] + 1])
+                light_sims += np.bincount(self.rows[p], np.repeat(w[at], n) * self.weights[p], len(light_sims))
             if not last:
+                seen = (by_block[todo] + light_sims.reshape(n_blocks, BLOCK)[todo]).ravel()
+                if len(seen) > k:
+                    floor = max(0.0, float(np.partition(seen, len(seen) - k)[len(seen) - k]) - MARGIN)
                 todo = ~visited & (bound > 0) & (bound >= floor - MARGIN)
-                if not todo.any():
-                    break
-                visited |= todo
-        hit = np.flatnonzero((whole > 0) & (whole >= floor - MARGIN))
-        exact = sims[hit] + self.heavy[np.ix_(hit, self.column[terms[common_]])] @ weights[common_]
+                visited = visited | todo
+        own = np.flatnonzero(visited)
+        whole = by_block[own] + light_sims.reshape(n_blocks, BLOCK)[own]
+        a, b = np.nonzero((whole >= floor - MARGIN) & (whole > 0))
+        if len(a) > 4 * k:  # far more than needed: cut again before the exact sums
+            value = whole[a, b]
+            near = value >= np.partition(value, len(value) - k)[len(value) - k] - MARGIN
+            a, b = a[near], b[near]
+        hit = own[a] * BLOCK + b
+        exact = light_sims[hit] + self.heavy[np.ix_(hit, column[column >= 0])] @ weights[column >= 0]
         hit, exact = hit[exact > 1e-12], exact[exact > 1e-12]
         best = np.lexsort((hit, -np.round(exact, 12)))[:k]
         return hit[best], exact[best]
 
-    def votes_of(self, queries: list[dict[int, int]]) -> Iterator[tuple[float, float, np.ndarray, np.ndarray]]:
-        for rows, sims in self.nearest_of(queries):
+    def votes_of(self, queries: list[Counts]) -> Iterator[tuple[float, float, np.ndarray, np.ndarray, Counts]]:
+        for rows, sims, vector in self.nearest_of(queries):
             y = self.labels[rows]
-            yield float((sims * y).sum()) / K, float((sims * (1 - y)).sum()) / K, rows, sims
+            yield float((sims * y).sum()) / K, float((sims * (1 - y)).sum()) / K, rows, sims, vector
 
 
 @dataclass
 class Model:
     terms: list[str]
     index: Index | None
-    flags: set[int]
+    flags: np.ndarray
     flagged: Index | None
     beta: tuple[float, ...]
     prior: float
 
 
-def _among(counts: dict[int, int], flags: set[int]) -> dict[int, int]:
-    return {t: n for t, n in counts.items() if t in flags}
+def _among(counts: Counts, flags: np.ndarray) -> Counts:
+    at = flags[counts[0]]
+    return counts[0][at], counts[1][at]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, seed: int = 4) -> Model:
     rows, (n0, n1) = labelled(docs, labels, label_col, per_class, seed)
     prior = n1 / (n0 + n1) if n0 + n1 else 0.5
-    counts = [Counter(words(t)) for t, _, _ in rows]
-    terms = sorted({w for c in counts for w in c} | {_stem(w) for c in counts for w in c} - {""})
+    every: set[str] = set()
+    commonest = []
+    for text, _, _ in rows:
+        count = Counter(words(text))
+        every.update(count)
+        commonest.append(max(count.items(), key=lambda x: (x[1], x[0]))[0] if count else "")
+    terms = sorted(every | ({_stem(w) for w in every} - {""}))
     if not terms or len({y for _, y, _ in rows}) < 2:
-        return Model([], None, set(), None, (), prior)
+        return Model([], None, np.zeros(0, bool), None, (), prior)
     # Blocks of one language have close bounds: rows go by their commonest word.
-    order = sorted(range(len(rows)), key=lambda i: (max(counts[i].items(), key=lambda x: (x[1], x[0]))[0] if counts[i] else "", rows[i][2]))
+    order = sorted(range(len(rows)), key=lambda i: (commonest[i], rows[i][2]))
     rows = [rows[i] for i in order]
     df, n = document_frequencies(docs, terms)
     idf = np.log((n + 1) / (df + 1)) + 1
     ids = {t: i for i, t in enumerate(terms)}
-    flags = {ids[t] for t in choose_terms(rows)}
+    flags = np.zeros(len(terms), bool)
+    flags[[ids[t] for t in choose_terms(rows)]] = True
     known = Terms(ids)
     vectors = [term_counts(t, known) for t, _, _ in rows]
     views = (vectors, [_among(v, flags) for v in vectors])
@@ -304,12 +319,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
             if model.index is not None:
                 p, why = [], []
                 counts = [term_counts(text, known) for text in common.texts(batch, text_col)]
-                for own, (a, b, rows, sims), (c, d, *_) in zip(counts, model.index.votes_of(counts), model.flagged.votes_of([_among(x, model.flags) for x in counts])):
+                for (a, b, rows, sims, (t, w)), (c, d, *_) in zip(model.index.votes_of(counts), model.flagged.votes_of([_among(x, model.flags) for x in counts])):
                     p.append(float(common.sigmoid(np.array([4 * a, 4 * b, 4 * c, 4 * d, 1.0]) @ beta)))
                     if evidence:
-                        t, w = model.index._vector(model.index.idf, own)
-                        top = sorted(zip((-w).tolist(), t.tolist()))[:3]
-                        why.append([f"{model.terms[i]}:{-x:.3f}" for x, i in top] + [f"doc {model.index.ids[r]}:{s:.3f}:{int(model.index.labels[r])}" for r, s in list(zip(rows, sims))[:3]])
+                        top = np.lexsort((t, -w))[:3]
+                        why.append([f"{model.terms[t[i]]}:{w[i]:.3f}" for i in top] + [f"doc {model.index.ids[r]}:{s:.3f}:{int(model.index.labels[r])}" for r, s in list(zip(rows, sims))[:3]])
             extra = [pa.array(p, pa.float64())] + [pa.array(why, pa.list_(pa.string()))] * evidence
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, out_col, *["evidence"] * evidence])
 

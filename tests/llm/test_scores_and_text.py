@@ -53,17 +53,27 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
 @pytest.mark.parametrize("heavy", [0.0, 0.1, 1.0])
 def test_block_max_is_exact(heavy):
     rnd = random.Random(8)
-    vectors = [{rnd.randrange(40): rnd.randint(1, 5) for _ in range(rnd.randint(0, 8))} for _ in range(700)]
+
+    def counts(n):
+        c = {rnd.randrange(40): rnd.randint(1, 5) for _ in range(n)}
+        return np.array(list(c), np.int32), np.array(list(c.values()), np.int32)
+
+    vectors = [counts(rnd.randint(0, 8)) for _ in range(700)]
     idf = np.array([rnd.uniform(1, 5) for _ in range(40)])
     index = toxicity.Index.build(vectors, [rnd.randrange(2) for _ in vectors], list(range(700)), idf, heavy)
-    for _ in range(60):
-        q = {rnd.randrange(40): rnd.randint(1, 5) for _ in range(rnd.randint(1, 6))}
-        w = index.weigh(q)
-        every = sorted(((-sum(x * v.get(t, 0) for t, x in w.items()), i) for i, v in ((int(i), index.weigh(vectors[i])) for i in index.ids)))
-        want = [-s for s, _ in every[: toxicity.K] if s < -1e-12]
+
+    def dense(v):
+        out = np.zeros(40)
+        t, w = index.weigh(v)
+        out[t] = w
+        return out
+
+    for q in [counts(rnd.randint(1, 6)) for _ in range(60)]:
+        want = sorted((dense(q) @ dense(vectors[i]) for i in index.ids), reverse=True)[: toxicity.K]
         rows, sims = index.nearest(q)
-        assert sims.tolist() == pytest.approx(want)
-    assert index.nearest({})[0].size == 0
+        assert sims.tolist() == pytest.approx([s for s in want if s > 1e-12])
+        assert [dense(q) @ dense(vectors[index.ids[r]]) for r in rows] == pytest.approx(sims.tolist())
+    assert index.nearest((np.zeros(0, np.int32), np.zeros(0, np.int32)))[0].size == 0
 
 
 def test_every_example_is_indexed_over_all_terms(spark):
@@ -77,6 +87,34 @@ def test_every_example_is_indexed_over_all_terms(spark):
     assert "doc 1002:1.000:1" in got[1001]["evidence"]
 
 
+def test_scores_equal_brute_force(spark):
+    """Votes over all terms and all examples of both classes, by every cosine; and clean texts do not all score the same."""
+    docs, labels = corpus(spark)
+    model = toxicity.fit(docs, labels)
+    index, known = model.index, toxicity.Terms({t: i for i, t in enumerate(model.terms)})
+    assert set(index.labels) == {0.0, 1.0}
+
+    def votes(index, counts):
+        rows = {}
+        for r, c, v in zip(*index.cells, index.values):
+            rows.setdefault(int(r), {})[int(np.flatnonzero(index.column == c)[0])] = v
+        for t in range(len(index.idf)):
+            for e in range(index.entries[t], index.entries[t + 1]):
+                for p in range(index.postings[e], index.postings[e + 1]):
+                    rows.setdefault(int(index.rows[p]), {})[t] = index.weights[p]
+        sims = [(sum(w * rows.get(r, {}).get(int(t), 0.0) for t, w in zip(*index.weigh(counts))), r) for r in range(len(index.ids))]
+        best = sorted((-round(s, 12), r) for s, r in sims if s > 1e-12)[: toxicity.K]
+        return sum(-s * index.labels[r] for s, r in best) / toxicity.K, sum(-s * (1 - index.labels[r]) for s, r in best) / toxicity.K
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.where("doc_id < 12").collect()}
+    for i, text in texts.items():
+        counts = toxicity.term_counts(text, known)
+        x = np.array([*votes(index, counts), *votes(model.flagged, toxicity._among(counts, model.flags))])
+        assert got[i] == pytest.approx(float(common.sigmoid(np.append(4 * x, 1) @ np.array(model.beta))), abs=1e-9)
+    assert len({round(s, 9) for s in got.values()}) > 100
+
+
 def test_sentencepieces_match_the_library(spark):
     import sentencepiece
 
