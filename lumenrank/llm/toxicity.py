@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +24,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +33,21 @@ from .quality import labelled
 
 PER_CLASS = 3000
 K = 16
-BLOCK, FIRST, BATCH = 64, 8, 256
+BLOCK, FIRST, BATCH = 256, 4, 256
 #: Terms that a larger share of the examples has are a matrix instead of postings.
 HEAVY = 0.03
 #: Above the rounding of products of 32 bits.
 MARGIN = 1e-5
 MIN_G = 20.0
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def word_lists(texts: pa.Array) -> pa.Array:
+    """Words of texts: runs of letters, in lower case."""
+    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), r"\P{L}+", " ")))
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [w for w in word_lists(pa.array([text], pa.string()))[0].as_py() if w]
 
 
 def _stem(word: str) -> str:
@@ -75,28 +79,29 @@ def choose_terms(rows: list[tuple[str, int, int]], min_g: float = MIN_G) -> list
     return sorted(found)
 
 
-class Terms(dict):
-    """Word to the numbers of its terms (itself and its stem, where the model has them), remembered as words come up, up to a bound."""
-
-    def __init__(self, ids: dict[str, int], keep: int = 1 << 18):
-        self.ids, self.keep = ids, keep
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(i for i in (self.ids.get(word), self.ids.get(_stem(word))) if i is not None)
-        if len(self) < self.keep:
-            self[word] = found
-        return found
+Counts = tuple[np.ndarray, np.ndarray]  # numbers of terms, and how often each occurs
 
 
-Counts = tuple[np.ndarray, np.ndarray]  # numbers of terms, and how often each occurs
+def _terms(texts: pa.Array, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number * number of terms + term, how often), sorted, of texts at once: each distinct word and its stem are looked up once."""
+    lists = word_lists(texts)
+    coded = lists.flatten().dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    own = np.array([ids.get(w, -1) if w else -1 for w in known] or [-1], np.int64)
+    stem = np.array([ids.get(_stem(w), -1) if len(w) > 5 else -1 for w in known] or [-1], np.int64)
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    base = np.repeat(np.arange(len(texts)) * len(ids), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    found = [(base + t)[t >= 0] for t in (own[code], stem[code])]
+    return np.unique(np.concatenate(found), return_counts=True)
 
 
-def term_counts(text: str, terms: Terms) -> Counts:
-    out: dict[int, int] = {}
-    for w, n in Counter(words(text)).items():
-        for i in terms[w]:
-            out[i] = out.get(i, 0) + n
-    return np.fromiter(out, np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
+def term_counts(texts: pa.Array, ids: dict[str, int]) -> list[Counts]:
+    if not ids:
+        return [(np.zeros(0, np.int32), np.zeros(0, np.int32))] * len(texts)
+    key, n = _terms(texts, ids)
+    cut = np.searchsorted(key, np.arange(len(texts) + 1) * len(ids))
+    key, n = (key % len(ids)).astype(np.int32), n.astype(np.int32)
+    return [(key[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:])]
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -104,12 +109,9 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
     ids = {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, known = np.zeros(len(ids) + 1, np.int64), Terms(ids)
+        df = np.zeros(len(ids) + 1, np.int64)
         for batch in common.slices(batches, "t"):
-            found: list[int] = []
-            for text in common.texts(batch, "t"):
-                found.extend({i for w in set(words(text)) for i in known[w]})
-            df[:-1] += np.bincount(np.array(found, np.int64), minlength=len(ids))
+            df[:-1] += np.bincount(_terms(batch.column("t"), ids)[0] % len(ids), minlength=len(ids))
             df[-1] += batch.num_rows
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["i", "n"])
@@ -174,6 +176,8 @@ class Index:
     def weigh(self, counts: Counts) -> Counts:
         """Terms and weights of a vector of length 1."""
         t, n = counts
+        if not len(t):
+            return t, np.zeros(0)
         w = (1 + np.log(n)) * self.idf[t]
         norm = math.sqrt(w @ w)
         return (t, w / norm) if norm else (t[:0], w[:0])
@@ -249,6 +253,9 @@ class Index:
 
     def votes_of(self, queries: list[Counts]) -> Iterator[tuple[float, float, np.ndarray, np.ndarray, Counts]]:
         for rows, sims, vector in self.nearest_of(queries):
+            if not len(rows):
+                yield 0.0, 0.0, rows, sims, vector
+                continue
             y = self.labels[rows]
             yield float((sims * y).sum()) / K, float((sims * (1 - y)).sum()) / K, rows, sims, vector
 
@@ -288,8 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     ids = {t: i for i, t in enumerate(terms)}
     flags = np.zeros(len(terms), bool)
     flags[[ids[t] for t in choose_terms(rows)]] = True
-    known = Terms(ids)
-    vectors = [term_counts(t, known) for t, _, _ in rows]
+    vectors = [v for at in range(0, len(rows), BATCH) for v in term_counts(pa.array([t for t, _, _ in rows[at : at + BATCH]], pa.string()), ids)]
     views = (vectors, [_among(v, flags) for v in vectors])
     y = np.array([k for _, k, _ in rows], float)
     names = [i for _, _, i in rows]
@@ -313,17 +319,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{out_col}` double" + ", evidence array<string>" * evidence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, beta = Terms({t: i for i, t in enumerate(model.terms)}), np.array(model.beta)
+        ids, beta = {t: i for i, t in enumerate(model.terms)}, np.array(model.beta)
         for batch in common.slices(batches, text_col):
             p, why = [model.prior] * batch.num_rows, [[]] * batch.num_rows
             if model.index is not None:
-                p, why = [], []
-                counts = [term_counts(text, known) for text in common.texts(batch, text_col)]
+                why = []
+                counts, x = term_counts(batch.column(text_col), ids), []
                 for (a, b, rows, sims, (t, w)), (c, d, *_) in zip(model.index.votes_of(counts), model.flagged.votes_of([_among(x, model.flags) for x in counts])):
-                    p.append(float(common.sigmoid(np.array([4 * a, 4 * b, 4 * c, 4 * d, 1.0]) @ beta)))
+                    x.append((4 * a, 4 * b, 4 * c, 4 * d, 1.0))
                     if evidence:
                         top = np.lexsort((t, -w))[:3]
-                        why.append([f"{model.terms[t[i]]}:{w[i]:.3f}" for i in top] + [f"doc {model.index.ids[r]}:{s:.3f}:{int(model.index.labels[r])}" for r, s in list(zip(rows, sims))[:3]])
+                        why.append([f"{model.terms[t[i]]}:{w[i]:.3f}" for i in top] + [f"doc {model.index.ids[r]}:{s:.3f}:{int(model.index.labels[r])}" for r, s in zip(rows[:3], sims[:3])])
+                p = common.sigmoid(np.array(x) @ beta)
             extra = [pa.array(p, pa.float64())] + [pa.array(why, pa.list_(pa.string()))] * evidence
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, out_col, *["evidence"] * evidence])
 

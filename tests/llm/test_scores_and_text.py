@@ -2,6 +2,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenrank.llm import common, quality, sentencepieces, toolcalls, toxicity
@@ -91,7 +92,7 @@ def test_scores_equal_brute_force(spark):
     """Votes over all terms and all examples of both classes, by every cosine; and clean texts do not all score the same."""
     docs, labels = corpus(spark)
     model = toxicity.fit(docs, labels)
-    index, known = model.index, toxicity.Terms({t: i for i, t in enumerate(model.terms)})
+    index, ids = model.index, {t: i for i, t in enumerate(model.terms)}
     assert set(index.labels) == {0.0, 1.0}
 
     def votes(index, counts):
@@ -109,7 +110,7 @@ def test_scores_equal_brute_force(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     texts = {r["doc_id"]: r["text"] or "" for r in docs.where("doc_id < 12").collect()}
     for i, text in texts.items():
-        counts = toxicity.term_counts(text, known)
+        counts, = toxicity.term_counts(pa.array([text]), ids)
         x = np.array([*votes(index, counts), *votes(model.flagged, toxicity._among(counts, model.flags))])
         assert got[i] == pytest.approx(float(common.sigmoid(np.append(4 * x, 1) @ np.array(model.beta))), abs=1e-9)
     assert len({round(s, 9) for s in got.values()}) > 100
