@@ -5,8 +5,9 @@ characters, no merge crosses their border. So the last piece of each prefix's en
 prefixes, and encoding is a path of weight 0 in a lattice whose other steps weigh minus infinity. A border of two chunks has as
 states the pieces that reach or cross it. A chunk yields the matrix of path weights from each state at its start to
 each at its end; matrices combine by max-plus products, which are associative, in blocks and then over blocks; the one finite path gives each chunk
-its entry and exit states, and each chunk is then traced back on its own. Where white space or a character
-outside the vocabulary stands, all paths meet, so a chunk's matrix needs work only near its ends.
+its entry and exit states, and each chunk is traced back on its own. Where white space or a character
+outside the vocabulary stands, all paths meet, so a chunk's matrix needs work only near its ends, and its ids between the first and the last such
+place are known at once: they are traced in the pass that makes the matrix, with those of each state's way to them.
 
 Null and empty texts have no ids. Rows that repeat an id each get a row, null ids pass through, other columns are not read.
 Only vocabularies of merges with identity normalisation are taken; anything else raises ValueError. No documents, no rows.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,25 +260,34 @@ class Chunk:
 
     def matrix(self) -> np.ndarray:
         """Weights of paths from each entry state (row) to each exit state (column)."""
+        reach = max([j for _, j in self.exit], default=self.end)
+        return np.array([self._exits(self.v.last_pieces(self.text, s[1], reach, self._before(s))) for s in self.entry])
+
+    def ids(self, entry: int, exit_: int) -> bytes:
+        """Ids of the pieces that begin in this chunk, on the path between two states, where no two paths meet."""
+        v, start, stop = self.v, self.entry[entry][1], self.exit[exit_][1]
+        return np.array(v.to_ids(v.trace(v.last_pieces(self.text, start, stop, self._before(self.entry[entry])), start, stop)), "<i4").tobytes()
+
+    def scan(self) -> tuple[np.ndarray, list[bytes], bytes, list[bytes]] | None:
+        """Matrix, ids from each entry state to where all paths meet first, from there to where they meet last, and on to each exit state.
+
+        None if they meet nowhere in the chunk: its ids then have to wait for its states.
+        """
         v, reach = self.v, max([j for _, j in self.exit], default=self.end)
         low, high = max([j for _, j in self.entry]) + 1, self.end - 1
         a = next((i for i in range(low, high) if v.meets(self.text, i)), None)
         if a is None:
-            return np.array([self._exits(v.last_pieces(self.text, s[1], reach, self._before(s))) for s in self.entry])
+            return None
         b = next(i for i in range(high, a - 1, -1) if v.meets(self.text, i))
-        into = np.array([0.0 if a in v.last_pieces(self.text, s[1], a, self._before(s)) else NEVER for s in self.entry])
-        return into[:, None] + self._exits(v.last_pieces(self.text, b, reach, None))[None, :]
-
-    def ids(self, entry: int, exit_: int) -> bytes:
-        """Ids of the pieces that begin in this chunk, on the path between two states."""
-        v, start, stop = self.v, self.entry[entry][1], self.exit[exit_][1]
-        cut = [i for i in range(start + 1, min(stop, self.end - 1)) if v.meets(self.text, i)]
-        if not cut:
-            return np.array(v.to_ids(v.trace(v.last_pieces(self.text, start, stop, self._before(self.entry[entry])), start, stop)), "<i4").tobytes()
-        a, b = cut[0], cut[-1]
-        head = v.to_ids(v.trace(v.last_pieces(self.text, start, a, self._before(self.entry[entry])), start, a))
-        tail = v.to_ids(v.trace(v.last_pieces(self.text, b, stop, None), b, stop))
-        return np.array(head, "<i4").tobytes() + v.segments(self.text[a:b]) + np.array(tail, "<i4").tobytes()
+        into, heads = [], []
+        for s in self.entry:
+            last = v.last_pieces(self.text, s[1], a, self._before(s))
+            into.append(0.0 if a in last else NEVER)
+            heads.append(np.array(v.to_ids(v.trace(last, s[1], a)), "<i4").tobytes() if a in last else b"")
+        last = v.last_pieces(self.text, b, reach, None)
+        out = self._exits(last)
+        tails = [np.array(v.to_ids(v.trace(last, b, j)), "<i4").tobytes() if w == 0 else b"" for (_, j), w in zip(self.exit, out)]
+        return np.array(into)[:, None] + out[None, :], heads, v.segments(self.text[a:b]), tails
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -327,12 +338,35 @@ def _split(vocabulary: str, size: int):
     return run
 
 
-def _matrices(vocabulary: str):
+def _squeeze(ids: bytes) -> bytes:
+    """Ids in little space: 16 bits each where they fit, compressed."""
+    x = np.frombuffer(ids, "<i4")
+    narrow = not len(x) or int(x.max()) < 1 << 16
+    return bytes([narrow]) + zstandard.ZstdCompressor(level=1).compress(x.astype("<u2" if narrow else "<i4").tobytes())
+
+
+def _unsqueeze(data: bytes) -> bytes:
+    raw = zstandard.ZstdDecompressor().decompress(data[1:])
+    return np.frombuffer(raw, "<u2").astype("<i4").tobytes() if data[0] else raw
+
+
+SCANNED = "doc_id long, key string, block int, chunk int, m binary, body binary, heads array<binary>, tails array<binary>, text string, start int, end int, chunks int"
+
+
+def _scan(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(vocabulary)
         for batch in common.slices(batches, "text"):
-            m = [_pack(_chunk_of(v, r).matrix()) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "block", "chunk")), pa.array(m, pa.binary())], names=["key", "block", "chunk", "m"])
+            out = []
+            for r in batch.to_pylist():
+                c, place = _chunk_of(v, r), (r["doc_id"], r["key"], r["block"], r["chunk"])
+                if (got := c.scan()) is None:
+                    out.append((*place, _pack(c.matrix()), None, None, None, r["text"], r["start"], r["end"], r["chunks"]))
+                else:
+                    m, heads, middle, tails = got
+                    out.append((*place, _pack(m), _squeeze(middle), heads, tails, None, None, None, None))
+            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), types)], names=[f.split()[0] for f in SCANNED.split(", ")])
 
     return run
 
@@ -381,38 +415,44 @@ def _inside(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array([left.column("key")[0].as_py()] * len(rows), pa.string()), "chunk": pa.array([c for c, _ in rows], pa.int32()), "entry": pa.array(s[:-1], pa.int32()), "exit": pa.array(s[1:], pa.int32())})
 
 
-def _trace(vocabulary: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = load(vocabulary)
-        for batch in common.slices(batches, "text"):
-            ids = [_chunk_of(v, r).ids(r["entry"], r["exit"]) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "chunk")), pa.array(ids, pa.binary())], names=["doc_id", "key", "chunk", "ids"])
+def _assemble(vocabulary: str):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A document's ids, once for each row that it was given in: what lies between its chunks' states, end to end."""
+        v, parts, n = load(vocabulary), [], 0
+        states = dict(zip(right.column("chunk").to_pylist(), zip(right.column("entry").to_pylist(), right.column("exit").to_pylist())))
+        order = np.argsort(left.column("chunk").to_numpy(), kind="stable")
+        before = -1
+        for k in order.tolist():
+            chunk = left.column("chunk")[k].as_py()
+            n += chunk == 0
+            if chunk == before:
+                continue
+            before = chunk
+            entry, exit_ = states[chunk]
+            if (body := left.column("body")[k].as_py()) is None:
+                parts.append(_chunk_of(v, left.slice(k, 1).to_pylist()[0]).ids(entry, exit_))
+            else:
+                parts += [left.column("heads")[k][entry].as_py(), _unsqueeze(body), left.column("tails")[k][exit_].as_py()]
+        return pa.table({"doc_id": pa.array([left.column("doc_id")[0].as_py()] * n, pa.int64()), "ids": pa.array([b"".join(parts)] * n, pa.binary())})
 
     return run
 
 
-def _join_ids(table: pa.Table) -> pa.Table:
-    """A document's ids, once for each row that it was given in."""
-    chunk = table.column("chunk").to_pylist()
-    ids = b"".join(x for _, x in sorted(dict(zip(chunk, table.column("ids").to_pylist())).items()))
-    n = chunk.count(0)
-    return pa.table({"doc_id": pa.array([table.column("doc_id")[0].as_py()] * n, pa.int64()), "ids": pa.array([ids] * n, pa.binary())})
-
-
 def encode_giants(docs: DataFrame, vocabulary: str, size: int = CHUNK) -> DataFrame:
     """(doc_id, ids as little-endian 32-bit integers) of ``docs(doc_id, text)``, by the scan over chunks.
 
-    Chunks are cut anew for the second pass rather than written; only matrices and states are.
+    Text is cut and read once, where it lies: a chunk yields its matrix, and its ids but for the choice of its states, which the matrices make.
+    Matrices, states and ids are shuffled; text is only where no two paths of a chunk meet.
     """
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2("text", 256))
     chunks = docs.select("doc_id", key.alias("key"), "text").mapInArrow(_split(vocabulary, size), CHUNKS)
-    matrices = common.materialize(chunks.mapInArrow(_matrices(vocabulary), "key string, block int, chunk int, m binary"), "matrices")
+    scanned = common.materialize(chunks.mapInArrow(_scan(vocabulary), SCANNED), "scanned")
+    matrices = scanned.select("key", "block", "chunk", "m")
     blocks = matrices.groupBy("key", "block").applyInArrow(_combine, "key string, block int, m binary")
     borders = blocks.groupBy("key").applyInArrow(_top, "key string, block int, entry int, exit int")
     inside = matrices.groupBy("key", "block").cogroup(borders.groupBy("key", "block")).applyInArrow(_inside, "key string, chunk int, entry int, exit int")
-    inside = common.materialize(inside, "states")
-    traced = chunks.join(inside, ["key", "chunk"]).mapInArrow(_trace(vocabulary), "doc_id long, key string, chunk int, ids binary")
-    return traced.groupBy("key").applyInArrow(_join_ids, "doc_id long, ids binary")
+    bodies = scanned.drop("m", "block")
+    return bodies.groupBy("key").cogroup(inside.groupBy("key")).applyInArrow(_assemble(vocabulary), "doc_id long, ids binary")
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, size: int = CHUNK) -> DataFrame:
