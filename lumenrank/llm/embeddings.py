@@ -1,23 +1,26 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Unit vectors are dealt to shards by the nearest of a few centroids (fitted on a bounded sample) and also to each centroid that is nearly
-as near, so shards overlap; shards never mix labels. A shard of more than ``CAP`` vectors is split by a hash of the id into blocks. In each
-block a graph is built: nearest candidates and some random ones, robust-pruned. A vector's adjacency lists
-from all its shards are united. Each vector then searches, in batches, its own shard's blocks: greedy search
-from the block's medoid and its own node, then range expansion through every node within the threshold. Similarities are computed in
-double precision, and only pairs at the threshold or above link. Recall is audited against brute force on a bounded query set;
-below ``MIN_RECALL`` the search is done again with wider shards and beams.
+Unit vectors are dealt to shards by the nearest centroid (fitted on a bounded sample; as many as the rows ask for, beyond ``FLAT`` in two
+levels) and also to each centroid that is nearly as near, so shards overlap; shards never mix labels. A shard of more than ``CAP`` vectors is
+split by a hash of the id into blocks. In each block a graph is built: nearest candidates and some random ones, robust-pruned. A vector's
+adjacency lists from all its shards are united. Each vector then searches, in batches, its own shard's blocks: greedy search
+from the block's medoid and its own node, then range expansion through every node within the threshold; two blocks search each other in one task,
+so a link found from either end counts for both. Similarities are computed in double precision, and only pairs at the threshold or above link.
+Recall is audited after every search against brute force on a bounded query set, as the mean over queries that have links (1 if none has);
+below ``MIN_RECALL`` the search is done again with wider shards and beams, and a last search below ``LEAST_RECALL`` is an error.
 
 Tasks keep counts and links that join local components; pairs leave a task only where they cross shards. Vectors with equal
 components and label are one node with a count, so exact copies are never expanded.
 
 Vectors without label or id, null, zero, empty, or with null or non-finite components link with nothing (an absent id has no component and is kept).
-Vectors of different length never link. Rows that repeat an id and vector count once and each get a row. Other columns are not read.
+Vectors of different length never link. Rows that repeat an id and vector count once and each get a row. Of an id's different vectors the one of
+the smallest key stands for it in the result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 from collections.abc import Iterator
 
@@ -29,21 +32,32 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-CAP, TARGET, MAX_CENTROIDS = 4096, 1500, 256
-SAMPLE, AUDIT, MIN_RECALL = 8192, 100, 0.97
+CAP, TARGET, FLAT, MAX_CENTROIDS = 4096, 1500, 256, 8192
+SAMPLE, AUDIT, MIN_RECALL, LEAST_RECALL = 8192, 200, 0.97, 0.9
 NEAR, RANDOM, DEGREE, ALPHA = 32, 48, 32, 1.2
 BEAM, AT_ONCE, BATCH = 32, 4, 256
 MARGIN = 0.08
+log = logging.getLogger(__name__)
+
+
+def _raw(x: np.ndarray) -> bytes:
+    """A vector of doubles, in 32 bits where that loses nothing; equal vectors, equal bytes."""
+    with np.errstate(over="ignore"):
+        narrow = x.astype("<f4")
+    return b"f" + narrow.tobytes() if (narrow == x).all() else b"d" + x.astype("<f8").tobytes()
 
 
 def _units(rows: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1).astype(np.float64)
+    if all(r[:1] == b"f" for r in rows):
+        x = np.frombuffer(b"".join(r[1:] for r in rows), "<f4").reshape(len(rows), -1).astype(np.float64)
+    else:
+        x = np.array([np.frombuffer(r[1:], "<f4" if r[:1] == b"f" else "<f8") for r in rows], np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """vec_id, grp (label and length), key (of equal vectors), raw: of vectors that can link."""
+    """vec_id, grp (label and length), dim, key (of equal vectors), raw: of vectors that can link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,19 +65,18 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Data
             for i, v, y in zip(batch.column("i").to_pylist(), batch.column("v").to_pylist(), batch.column("y").to_pylist()):
                 if i is None or y is None or not v or any(c is None for c in v):
                     continue
-                x = np.array(v, np.float32) + np.float32(0)  # -0.0 becomes 0.0
+                x = np.array(v, np.float64) + 0.0  # -0.0 becomes 0.0
                 if np.isfinite(x).all() and x.any():
-                    raw = x.tobytes()
-                    out.append((i, f"{y}/{len(x)}", hashlib.md5(f"{y}/".encode() + raw).hexdigest(), raw))
-            cols = zip(*out) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.binary()))], names=["vec_id", "grp", "key", "raw"])
+                    raw = _raw(x)
+                    out.append((i, f"{y}/{len(x)}", len(x), hashlib.md5(f"{y}/".encode() + raw).hexdigest(), raw))
+            cols = zip(*out) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary()))], names=["vec_id", "grp", "dim", "key", "raw"])
 
-    picked = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<float>").alias("v"), F.col(label_col).cast("string").alias("y"))
-    return common.materialize(picked.mapInArrow(run, "vec_id long, grp string, key string, raw binary"), "vectors")
+    picked = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("y"))
+    return common.materialize(picked.mapInArrow(run, "vec_id long, grp string, dim int, key string, raw binary"), "vectors")
 
 
-def fit_centroids(sample: list[bytes], n: int, steps: int = 12) -> np.ndarray:
-    x = _units(sample)
+def _means(x: np.ndarray, n: int, steps: int) -> np.ndarray:
     rng = np.random.default_rng(6)
     c = x[rng.choice(len(x), min(n, len(x)), replace=False)]
     for _ in range(steps):
@@ -75,6 +88,40 @@ def fit_centroids(sample: list[bytes], n: int, steps: int = 12) -> np.ndarray:
     return c
 
 
+class Centroids:
+    """Centroids of unit vectors: one level, or cells of which each has its own."""
+
+    def __init__(self, x: np.ndarray, n: int, steps: int = 12):
+        if n <= FLAT:
+            self.cells, self.leaves = None, [_means(x, n, steps)]
+        else:
+            self.cells = _means(x, math.ceil(math.sqrt(n)), steps)
+            near = (x @ self.cells.T).argmax(1)
+            per = math.ceil(n / len(self.cells))
+            self.leaves = [_means(x[near == j], per, steps) if (near == j).any() else self.cells[j : j + 1] for j in range(len(self.cells))]
+        self.first = np.concatenate([[0], np.cumsum([len(c) for c in self.leaves])])
+
+    def assign(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, centroid, and whether it is the row's nearest: for each row all centroids within ``margin`` of that."""
+        if self.cells is None:
+            cells = [np.arange(len(x))]
+        else:
+            s = x @ self.cells.T
+            cells = [np.flatnonzero(c) for c in (s >= s.max(1, keepdims=True) - margin).T]
+        row, leaf, sim = [], [], []
+        for j, at in enumerate(cells):
+            if len(at):
+                s = x[at] @ self.leaves[j].T
+                r, c = np.nonzero(s >= s.max(1, keepdims=True) - margin)
+                row.append(at[r]), leaf.append(c + self.first[j]), sim.append(s[r, c])
+        row, leaf, sim = (np.concatenate(a) for a in (row, leaf, sim))
+        order = np.lexsort((leaf, -sim, row))
+        row, leaf, sim = row[order], leaf[order], sim[order]
+        head = np.concatenate([[True], row[1:] != row[:-1]])
+        keep = sim >= sim[head][np.cumsum(head) - 1] - margin
+        return row[keep], leaf[keep], head[keep]
+
+
 def build_graph(x: np.ndarray) -> np.ndarray:
     """Adjacency (rows of ``DEGREE`` node numbers, -1 for none) of the robust-pruned graph over unit vectors."""
     n = len(x)
@@ -174,32 +221,37 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.table({"vec_id": pa.array(ids, pa.int64()), "near": pa.array(near, pa.list_(pa.int64()))})
 
 
+def _graph(table: pa.Table, ids: np.ndarray, node: np.ndarray) -> np.ndarray:
+    at = {int(i): k for k, i in enumerate(ids[node])}
+    lists = table.column("near")
+    wide = [[at[v] for v in lists[int(k)].as_py() or [] if v in at] for k in node]
+    adj = np.full((len(node), max([1, *map(len, wide)])), -1, np.int64)
+    for k, row in enumerate(wide):
+        adj[k, : len(row)] = row
+    return adj
+
+
 def _search(threshold: float, beam: int):
     def run(table: pa.Table) -> pa.Table:
-        """Rows of a block (side 1) and of queries (side 0 or both): counts (kind n), pairs across shards (p), joining links (e)."""
-        ids, home, copies = table.column("vec_id").to_numpy(), table.column("home").to_numpy(zero_copy_only=False), table.column("copies").to_numpy()
-        asks, holds = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "holds"))
+        """Rows of a block, or of two that search each other: counts (kind n), pairs across shards (p), joining links (e)."""
+        ids, home, copies, block = (table.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "home", "copies", "block"))
         out: list[tuple] = []
-        node, query = np.flatnonzero(holds), np.flatnonzero(asks & home)
-        if len(node) and len(query):
-            node = node[np.argsort(ids[node])]
-            x_all = _units(table.column("raw").to_pylist())
-            at = {int(i): k for k, i in enumerate(ids[node])}
-            lists = table.column("near")
-            wide = [[at[v] for v in lists[int(k)].as_py() or [] if v in at] for k in node]
-            adj = np.full((len(node), max([1, *map(len, wide)])), -1, np.int64)
-            for k, row in enumerate(wide):
-                adj[k, : len(row)] = row
-            own = np.array([at.get(int(i), -1) for i in ids[query]])
-            r, v = range_search(x_all[node], adj, x_all[query], own, threshold, beam)
-            a, b = query[r], node[v]
+        blocks = [np.flatnonzero(block == b) for b in np.unique(block)]
+        blocks = [at[np.argsort(ids[at])] for at in blocks]
+        if home.any() and (len(blocks) == 2 or table.column("x")[0] == table.column("y")[0]):
+            x = _units(table.column("raw").to_pylist())
+            a, b = [], []
+            for node, asking in [(blocks[0], blocks[0])] if len(blocks) == 1 else [(blocks[0], blocks[1]), (blocks[1], blocks[0])]:
+                query = asking[home[asking]]
+                if len(query):
+                    own = np.searchsorted(ids[node], ids[query]) if node is asking else np.full(len(query), -1)
+                    r, v = range_search(x[node], _graph(table, ids, node), x[query], own, threshold, beam)
+                    a.append(query[r]), b.append(node[v])
+            a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
                 both = home[b]
-                pair = np.stack([a[both], b[both]], 1)
-                mirror = asks[pair[:, 1]] & holds[pair[:, 0]] if len(pair) else np.zeros(0, bool)
-                pair = np.unique(np.concatenate([pair, pair[mirror][:, ::-1]]), axis=0)  # found from either end
-                counts = np.zeros(len(ids), np.int64)
-                np.add.at(counts, pair[:, 0], copies[pair[:, 1]])
+                pair = np.unique(np.sort(np.stack([a[both], b[both]], 1), axis=1), axis=0)  # found from either end
+                counts = np.bincount(pair[:, 0], copies[pair[:, 1]], len(ids)) + np.bincount(pair[:, 1], copies[pair[:, 0]], len(ids))
                 out += [("n", int(ids[k]), int(counts[k]), 0, 0) for k in np.flatnonzero(counts)]
                 for p, q in zip(a[~both], b[~both]):
                     p, q = (p, q) if ids[p] < ids[q] else (q, p)
@@ -224,27 +276,25 @@ def _search(threshold: float, beam: int):
 
 
 def find_links(nodes: DataFrame, threshold: float, margin: float, beam: int) -> DataFrame:
-    """kind, a, b, ca, cb: what the search of all ``nodes(vec_id, grp, raw, copies)`` found."""
-    spark = nodes.sparkSession
-    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("grp").alias("g"), F.mode(F.length("raw")).alias("bytes")).first()
-    sample = [r["raw"] for r in nodes.where(F.length("raw") == (size["bytes"] or 0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("raw").collect()]
+    """kind, a, b, ca, cb: what the search of all ``nodes(vec_id, grp, dim, raw, copies)`` found."""
+    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("grp").alias("g"), F.mode("dim").alias("dim")).first()
     n = min(MAX_CENTROIDS, max(1, math.ceil(size["n"] / (TARGET * max(1, size["g"])))))
-    centroids = fit_centroids(sample, n) if sample and n > 1 else None
+    sample = [r["raw"] for r in nodes.where(F.col("dim") == (size["dim"] or 0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, 8 * n)).select("raw").collect()]
+    centroids = Centroids(_units(sample), n) if sample and n > 1 else None
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, shard, home = [], [], []
-            for k, raw in enumerate(batch.column("raw").to_pylist()):
-                if centroids is None or len(raw) != size["bytes"]:
-                    row.append(k), shard.append(0), home.append(True)
-                    continue
-                s = centroids @ _units([raw])[0]
-                best = int(s.argmax())
-                for c in np.flatnonzero(s >= s[best] - margin):
-                    row.append(k), shard.append(int(c)), home.append(int(c) == best)
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row, pa.int64())).columns, pa.array(shard, pa.int32()), pa.array(home, pa.bool_())], names=["vec_id", "grp", "raw", "copies", "shard", "home"])
-
-    dealt = common.materialize(nodes.select("vec_id", "grp", "raw", "copies").mapInArrow(assign, "vec_id long, grp string, raw binary, copies long, shard int, home boolean"), "shards")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                fits = batch.column("dim").to_numpy() == size["dim"] if centroids is not None else np.zeros(batch.num_rows, bool)
+                row, shard, home = np.flatnonzero(~fits), np.zeros((~fits).sum(), np.int64), np.ones((~fits).sum(), bool)
+                if fits.any():
+                    mine = np.flatnonzero(fits)
+                    r, c, h = centroids.assign(_units([batch.column("raw")[int(k)].as_py() for k in mine]), margin)
+                    row, shard, home = (np.concatenate(p) for p in ((row, mine[r]), (shard, c), (home, h)))
+                yield pa.RecordBatch.from_arrays([*batch.select(["vec_id", "grp", "raw", "copies"]).take(pa.array(row)).columns, pa.array(shard, pa.int32()), pa.array(home, pa.bool_())], names=["vec_id", "grp", "raw", "copies", "shard", "home"])
+
+    dealt = common.materialize(nodes.select("vec_id", "grp", "raw", "copies", "dim").mapInArrow(assign, "vec_id long, grp string, raw binary, copies long, shard int, home boolean"), "shards")
     sizes = dealt.groupBy("grp", "shard").agg(F.ceil(F.count(F.lit(1)) / CAP).cast("int").alias("blocks"))
     # Joined by another expression than grouped by, so that a hot shard's rows can be split.
     tag = F.concat_ws("|", "grp", "shard")
@@ -254,15 +304,13 @@ def find_links(nodes: DataFrame, threshold: float, margin: float, beam: int) ->
     united = lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     rows = dealt.join(common.materialize(united, "graph"), "vec_id", "left").select("grp", "shard", "vec_id", "raw", "copies", "home", "near", "block", "blocks")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # A block's rows hold its graph for each asking block, and ask each block; where both are the same block once is enough.
-    held = rows.select("grp", "shard", F.col("other").alias("i"), F.col("block").alias("j"), "vec_id", "raw", "copies", "home", "near", (F.col("other") == F.col("block")).alias("asks"), F.lit(True).alias("holds"))
-    asked = rows.where("other != block and home").select("grp", "shard", F.col("block").alias("i"), F.col("other").alias("j"), "vec_id", "raw", "copies", "home", F.lit(None).cast("array<bigint>").alias("near"), F.lit(True).alias("asks"), F.lit(False).alias("holds"))
-    found = held.unionAll(asked).groupBy("grp", "shard", "i", "j").applyInArrow(_search(threshold, beam), "kind string, a long, b long, ca long, cb long")
+    rows = rows.select("grp", "shard", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "vec_id", "raw", "copies", "home", "near")
+    found = rows.groupBy("grp", "shard", "x", "y").applyInArrow(_search(threshold, beam), "kind string, a long, b long, ca long, cb long")
     return common.materialize(found, "found")
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the links of a bounded query set, found by brute force over all rows, that ``counts(vec_id, n)`` has."""
+    """Recall of ``counts(vec_id, n)`` against brute force over all rows: the mean over those of a bounded query set that have links, 1 if none has."""
     asked = nodes.orderBy(F.xxhash64("vec_id", F.lit(6)), "vec_id").limit(queries).select("vec_id", "grp", "raw").collect()
     if not asked:
         return 1.0
@@ -285,31 +333,35 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, queries: int =
 
     true = {r["vec_id"]: r["n"] for r in nodes.select("vec_id", "grp", "raw", "copies").mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n")).collect()}
     got = {r["vec_id"]: r["n"] for r in counts.where(F.col("vec_id").isin(list(true))).collect()}
-    return sum(min(n, got.get(i, 0)) for i, n in true.items()) / max(1, sum(true.values()))
+    shares = [min(n, got.get(i, 0)) / n for i, n in true.items() if n]
+    return sum(shares) / len(shares) if shares else 1.0
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of ``vectors``."""
     usable = valid(vectors, id_col, vec_col, label_col)
-    once = usable.dropDuplicates(["vec_id", "key"])
+    once = usable.groupBy("vec_id").agg(F.min(F.struct("key", "grp", "dim", "raw")).alias("m")).select("vec_id", "m.*")
     classes = once.groupBy("key").agg(F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("copies"))
     # Grouped and joined by different expressions, so that rows of a hot vector can be split.
     once = once.withColumn("k", F.reverse("key")).join(classes.select(F.reverse("key").alias("k"), "head", "copies"), "k").drop("k", "key")
     once = common.materialize(once, "nodes")
-    nodes = once.where("vec_id = head").dropDuplicates(["vec_id"])
+    nodes = once.where("vec_id = head")
     margin, beam = MARGIN, BEAM
     for attempt in range(3):
         found = find_links(nodes, threshold, margin, beam)
         pairs = found.where("kind = 'p'").distinct()
         counts = found.where("kind = 'n'").select(F.col("a").alias("vec_id"), F.col("b").alias("n")).unionAll(pairs.select(F.col("a").alias("vec_id"), F.col("cb").alias("n"))).unionAll(pairs.select(F.col("b").alias("vec_id"), F.col("ca").alias("n")))
         counts = common.materialize(counts.groupBy("vec_id").agg(F.sum("n").alias("n")), "counts")
-        if attempt == 2 or audit(nodes, counts, threshold) >= MIN_RECALL:
+        recall = audit(nodes, counts, threshold)
+        log.info("search %d: recall %.4f at margin %.2f and beam %d", attempt + 1, recall, margin, beam)
+        if recall >= MIN_RECALL:
             break
         margin, beam = margin * 2, beam * 2
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"recall of {recall:.3f} after {attempt + 1} searches")
     links = found.where("kind != 'n'").select("a", "b")
     named = components(links)
-    member = once.select("vec_id", "head", "copies").dropDuplicates(["vec_id"])
-    member = member.join(counts.select(F.col("vec_id").alias("head"), "n"), "head", "left").join(named.select(F.col("id").alias("head"), "component"), "head", "left")
+    member = once.select("vec_id", "head", "copies").join(counts.select(F.col("vec_id").alias("head"), "n"), "head", "left").join(named.select(F.col("id").alias("head"), "component"), "head", "left")
     member = member.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "head").alias("c"))
     out = vectors.select(F.col(id_col).cast("long").alias("vec_id")).join(member, "vec_id", "left")
     component = F.coalesce("c", "vec_id")
