@@ -37,6 +37,8 @@ WINDOW, GRAM = 50, 24
 LEFT = WINDOW - GRAM
 HOT = 1024
 CHUNK = 1 << 20
+#: Text of a bucket, about.
+BUCKET_BYTES = 16 << 20
 FILL = 0xFF  # no UTF-8 text has this byte
 
 
@@ -348,8 +350,10 @@ def _entries(rows: np.ndarray, docs: np.ndarray, spots: np.ndarray, masks: np.nd
     own = docs == docs[head][group]  # occurrences in the least document wait for the merge
     out: list[tuple] = []
     done = ~own
-    if done.any():
-        out.append((int(to[0]), pack_run(docs=docs[done], masks=masks[done], spots=spots[done])))
+    home = common_bucket(docs, buckets)  # what is settled goes where its document is
+    for b in np.unique(home[done]):
+        at = done & (home == b)
+        out.append((int(b), pack_run(docs=docs[at], masks=masks[at], spots=spots[at])))
     times = np.bincount(group[own], minlength=group[-1] + 1)
     waiting = spots[own].astype(np.int32)
     after = np.concatenate([[0], np.cumsum(times)])
@@ -470,13 +474,18 @@ def _windows(docs: DataFrame, buckets: int) -> DataFrame:
     return common.materialize(runs.groupBy("bucket").applyInArrow(_judge(buckets), "bucket int, docs binary, spots binary, masks binary"), "removed")
 
 
-def _bucketed(docs: DataFrame, buckets: int, id_col: str = "doc_id") -> DataFrame:
-    return docs.withColumn("bucket", F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(buckets)).cast("int"))
+def _bucketed(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", name: str = "bucket") -> DataFrame:
+    """Rows without id link with nothing: their bucket follows a hash of their text, so that they do not meet in one."""
+    return docs.withColumn(name, F.pmod(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)), F.lit(buckets)).cast("int"))
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """The first prime from twice the shuffle partitions on: tasks exchange up to its square of small rows."""
-    n = 2 * common.partitions(docs.sparkSession) + 1
+def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
+    """The first prime from the text's bytes over ``BUCKET_BYTES`` on, or from the shuffle partitions if these are more.
+
+    A bucket's texts are one task's; tasks exchange up to the square of the buckets of small rows.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    n = max(common.partitions(docs.sparkSession), size // BUCKET_BYTES) + 1
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
         n += 1
     return n
@@ -484,7 +493,7 @@ def bucket_count(docs: DataFrame) -> int:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    buckets = bucket_count(docs)
+    buckets = bucket_count(docs, text_col)
     docs = _bucketed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), buckets)
 
     def apply(left: pa.Table, gone) -> pa.Table:
@@ -506,8 +515,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the passages cut out of the text. A character of which only a part would go stays whole."""
-    buckets = bucket_count(docs)
-    kept = docs.drop("bucket")
+    buckets = bucket_count(docs, text_col)
+    kept, name = docs, next(f"_bucket{i}" for i in range(len(docs.columns) + 1) if f"_bucket{i}" not in docs.columns)
     own = _bucketed(kept.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), buckets)
 
     def apply(left: pa.Table, gone) -> pa.Table:
@@ -521,9 +530,9 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 whole = np.repeat(np.logical_and.reduceat(cut, lead), np.diff(np.concatenate([lead, [len(b)]])))
                 text = b[~whole].tobytes().decode("utf-8", "surrogatepass")
             texts.append(text)
-        table = left.drop_columns(["bucket"])
+        table = left.drop_columns([name])
         return table.set_column(table.schema.get_field_index(text_col), text_col, pa.array(texts, table.schema.field(text_col).type))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     windows = _windows(own, buckets)
-    return _bucketed(kept, buckets, id_col).groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInArrow(_finish(apply), schema)
+    return _bucketed(kept, buckets, id_col, text_col, name).groupBy(name).cogroup(windows.groupBy("bucket")).applyInArrow(_finish(apply), schema)
