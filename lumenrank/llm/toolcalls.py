@@ -127,12 +127,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     result = results.where(usable).groupBy("conv", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n"))
     loose = calls.where(~usable).select("conv", "call_id", F.struct("turn", "name", "arguments", "deps").alias("c"))
     lost = results.where(~usable).select("conv", "call_id", F.struct("turn", "content").alias("r"), F.lit(1).cast("long").alias("n"))
-    both = call.join(result, ["conv", "call_id"], "full_outer").unionByName(loose, True).unionByName(lost, True)
+    both = call.hint("shuffle_hash").join(result, ["conv", "call_id"], "full_outer").unionByName(loose, True).unionByName(lost, True)
     both = common.materialize(both, "linked")
 
     known = both.where("c is not null and conv is not null and call_id is not null")
     edges = known.select("conv", "call_id", F.col("c.turn").alias("at"), F.explode("c.deps").alias("dep"))
-    edges = common.materialize(edges.join(known.select("conv", F.col("call_id").alias("dep"), F.col("c.turn").alias("dep_at")), ["conv", "dep"]), "edges")
+    edges = common.materialize(edges.join(known.select("conv", F.col("call_id").alias("dep"), F.col("c.turn").alias("dep_at")).hint("shuffle_hash"), ["conv", "dep"]), "edges")
     odd = edges.where("not coalesce(dep_at < at, false)").select("conv").distinct()
     ordered = both.withColumn("topo_order", F.coalesce("c.turn", "r.turn"))
     if not odd.isEmpty():
