@@ -11,8 +11,11 @@ are then compared completely, in blocks of ``BLOCK`` members, each pair of block
 found only those that join components leave the task. So no bucket is expanded into rows for its pairs, none is collected
 whole, and no pair of a bucket that could join components stays uncompared. At similarity 0.85 a pair misses all bands with probability 2e-8.
 
-Null and empty texts, and texts of white space, have no shingles and link with nothing. A null id has no component and is kept;
-rows that repeat an id count as one node. Other columns are not read. No documents, no rows.
+Sets are sets of 64-bit hashes of shingles, and equal sets are known by their size and two 64-bit sums: links are confirmed by hash.
+
+Null and empty texts, and texts of white space, have no shingles and link with nothing. A null id has no component and is kept.
+Rows that repeat an id are one node that links by each of its texts; each gets a row with its own ``n_shingles`` and the id's component.
+Other columns are not read. No documents, no rows.
 """
 
 from __future__ import annotations
@@ -97,14 +100,14 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, set) of the given ids, one row each."""
+    """(doc_id, set) of the given ids: a row for each of an id's different sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _binary(shingle_sets(common.texts(batch, "text"), k))], names=["doc_id", "set"])
 
     wanted = docs.join(ids.distinct(), "doc_id", "left_semi")
-    return common.materialize(wanted.mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
+    return common.materialize(wanted.mapInArrow(run, "doc_id long, set binary").distinct(), "sets")
 
 
 def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
@@ -126,11 +129,13 @@ def _block(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Links that join the labels of a block's members, from exact intersections."""
         ids, labels = table.column("doc_id").to_numpy(), table.column("label").to_numpy()
-        ids, first = np.unique(ids, return_index=True)
-        labels = labels[first]
+        raw = [x.as_py() for x in table.column("set")]
+        first = np.array(list({(int(i), x): k for k, (i, x) in enumerate(zip(ids, raw))}.values()))
+        first = first[np.argsort(ids[first], kind="stable")]
+        ids, labels = ids[first], labels[first]
         a, b = [], []
         if len(np.unique(labels)) > 1:
-            sets = [np.frombuffer(table.column("set")[int(i)].as_py(), np.uint64) for i in first]
+            sets = [np.frombuffer(raw[i], np.uint64) for i in first]
             n = np.array([len(s) for s in sets])
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
             _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -174,7 +179,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     # Grouped and joined by different expressions, so that rows of a hot class can be split.
     member = known.select("doc_id", F.reverse("sig").alias("s")).join(first.select(F.reverse("sig").alias("s"), "class"), "s").select("doc_id", "class").distinct()
     member = common.materialize(member, "classes")
-    heads = common.materialize(known.join(member.where("doc_id = class").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads")
+    # An id that stands for several texts joins their classes, and has a sketch and a set of each.
+    least = member.groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("most"))
+    several = least.where("class != most").select("doc_id", F.col("class").alias("a"))
+    same = member.join(several, "doc_id").where("class != a").select("a", F.col("class").alias("b"))
+    heads = common.materialize(known.join(member.where("doc_id = class").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "sig"]), "heads")
 
     band = heads.select("doc_id", F.explode("bands").alias("key"))
     filled = band.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1")
@@ -196,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     pairs = common.materialize(pairs.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(likely, "a long, b long"), "pairs")
     one = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    links = common.materialize(_confirm(pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b"), percent), "confirmed")
+    links = common.materialize(_confirm(pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b"), percent).unionAll(same), "confirmed")
     found = common.materialize(components(links), "components")
 
     # What is left: buckets of three and more whose members are in different components.
@@ -211,7 +220,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     if not more.isEmpty():
         found = common.materialize(components(links.unionAll(more)), "components")
 
-    joined = member.join(found.select(F.col("id").alias("class"), "component"), "class", "left").select("doc_id", F.coalesce("component", "class").alias("c"))
+    joined = least.select("doc_id", "class").join(found.select(F.col("id").alias("class"), "component"), "class", "left").select("doc_id", F.coalesce("component", "class").alias("c"))
     out = made.select("doc_id", "n").join(joined, "doc_id", "left")
     component = F.coalesce("c", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -1,8 +1,10 @@
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenrank.llm import components, embeddings, minhash, suffixes
@@ -80,6 +82,16 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 85).count() == 0
 
 
+def test_ids_that_stand_for_different_texts(spark):
+    """A node for each id: it links by each of its texts, and each row gets the id's one component."""
+    a, b, c = ("one two three four five six " + w for w in ("seven eight", "other words here", "quite another thing"))
+    rows = [(0, b), (1, a), (1, b), (2, a), (3, c), (3, c), (4, None), (4, c), (5, "lone text of five words")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = {t: len(s) for t, s in zip((a, b, c, None), true_sets([a, b, c, None]))}
+    want = [(0, n[b], 0, True), (1, n[a], 0, False), (1, n[b], 0, False), (2, n[a], 0, False), (3, n[c], 3, True), (3, n[c], 3, True), (4, 0, 3, False), (4, n[c], 3, False), (5, 1, 5, True)]
+    assert got == sorted(want)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 2**63, 2000, dtype=np.uint64) for _ in range(2))
@@ -139,7 +151,7 @@ def test_repeated_passages(spark, monkeypatch, hot):
     got = suffixes.repeated_passages(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, bucket int"))
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, brute_cut(rows)))
     cut = suffixes.cut_passages(spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, bucket int"))
-    assert cut.count() == len(rows) and set(cut.columns) == {"doc_id", "text"}
+    assert cut.count() == len(rows) and cut.columns == ["doc_id", "text", "bucket"] and {r["bucket"] for r in cut.collect()} == {5}
     assert suffixes.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -154,6 +166,20 @@ def test_repeats_of_documents_in_one_bucket(spark):
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, brute_cut(rows)))
 
 
+def test_settled_windows_go_to_their_documents():
+    """What needs no merge is not the work of one bucket."""
+    passage = "shared passage of more than fifty bytes that many documents have, word for word"
+    buckets = 7
+    ids = list(range(40))
+    data, starts, size = suffixes._laid([passage] * 40)
+    t, q, a, b, h = suffixes.anchors(data, starts, size)
+    said = np.unique(suffixes._key(h, buckets) << 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([passage] * 40)], names=["doc_id", "text"])
+    found = suffixes._occurrences(batch, np.repeat(ids, len(said)), np.tile(said, 40), buckets)
+    settled = [(x[0], suffixes.unpack_run(x[1])["docs"]) for x in suffixes._entries(*found, buckets) if not len(suffixes.unpack_run(x[1])["lcp_r"])]
+    assert len(settled) == buckets and all((d % buckets == at).all() for at, d in settled) and len(np.unique(np.concatenate([d for _, d in settled]))) == 39
+
+
 def test_loser_tree_and_front_coding():
     rng = np.random.default_rng(5)
     runs, every = [], []
@@ -171,7 +197,9 @@ def test_loser_tree_and_front_coding():
         assert a[:n] == b[:n] and (n == 13 or a[n] != b[n])
 
 
-def test_embeddings(spark, monkeypatch):
+@pytest.mark.parametrize("flat", [256, 1])
+def test_embeddings(spark, monkeypatch, flat):
+    monkeypatch.setattr(embeddings, "FLAT", flat)
     monkeypatch.setattr(embeddings, "CAP", 60)
     monkeypatch.setattr(embeddings, "TARGET", 80)
     rng = np.random.default_rng(2)
@@ -200,3 +228,27 @@ def test_embeddings(spark, monkeypatch):
         assert got[i] == (0, i, True)
     assert got[1004] == (1, 1004, True) and got[1005] == (1, 1004, False)
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_vectors_without_links_are_searched_once(spark, monkeypatch):
+    searches, recall = [], []
+    search, audit = embeddings.find_links, embeddings.audit
+    monkeypatch.setattr(embeddings, "find_links", lambda *a: searches.append(1) or search(*a))
+    monkeypatch.setattr(embeddings, "audit", lambda *a: recall.append(audit(*a)) or recall[-1])
+    x = np.random.default_rng(3).normal(size=(60, 24))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert {(r["n_links"], r["kept"]) for r in embeddings.near_vectors(df).collect()} == {(0, True)}
+    assert searches == [1] and recall == [1.0]
+    monkeypatch.setattr(embeddings, "audit", lambda *a: 0.5)
+    with pytest.raises(RuntimeError):
+        embeddings.near_vectors(df)
+
+
+def test_vectors_are_compared_as_doubles(spark):
+    """Components beyond 32 bits, and a cosine that 32 bits would round over the threshold."""
+    rows = [(1, [1e60, 2e60], "a"), (2, [1e60, 2.0000001e60], "a"), (3, [0.0, 1e-300], "a"), (4, [0.0, 5e-300], "a"), (5, [1e60, -1e60], "a"), (5, [1.0, 1.0], "a"), (5, [1e60, -1e60], "a")]
+    for i, c in ((10, 0.98 - 1e-10), (12, 0.98 + 1e-10)):
+        rows += [(i, [1.0, 0.0], str(i)), (i + 1, [c, math.sqrt(1 - c * c)], str(i))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(df).collect()}
+    assert got[1] == got[2] == 1 and got[3] == got[4] == 1 and got[10] == got[11] == 0 and got[12] == got[13] == 1
