@@ -65,3 +65,23 @@ def test_every_query_is_registered():
     names = [n for n in e.queries() if n.startswith("op")]
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} and "pipeline" in e.queries()
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_odd_tables(spark, folder, tmp_path):
+    """Every stage on empty tables, repeated rows, null ids and columns whose names the operators use themselves."""
+    path, texts, _, _ = folder
+    extra = "bucket long, quality_score string, toxic_score double, _quality int, _toxic string, class long, component_id long, ids binary, key string"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    values = (7, "q", 0.5, 1, "t", 3, 4, b"i", "k")
+    rows = [(i, t, "en", "s", len(t or ""), *values) for i, t in list(texts.items())[:80]]
+    rows += [rows[0], rows[0], (None, texts[3], "en", "s", 1, *values), (None, None, None, None, None, *[None] * 9), (9000, "", "en", "s", 0, *values)]
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, path)
+            assert out.schema.names == docs.schema.names, name
+            got = out.collect()
+            assert len(got) <= len(table) and all(tuple(r)[5:] in (values, (None,) * 9) for r in got), name
+            if table:
+                assert sum(r["doc_id"] is None for r in got) >= 1 or name in ("quality classifier", "toxicity"), name
+        assert (corpus_pipeline.STAGES[-1][1](spark, docs, path).count() > 0) == bool(table)
