@@ -53,6 +53,8 @@ def query_terms(node: dict, corpus: Corpus) -> list[tuple[str, str]]:
         if name not in corpus.analyzers:
             return []
         return [(name, str(t)) for t in _list(spec["value"] if isinstance(spec, dict) else spec)]
+    if kind == "blended":
+        return [(f, t) for f in _fields(body, corpus) for t in analysis.analyze(str(body["query"]), corpus.analyzers[f])]
     if kind == "bool":
         return [t for part in ("must", "should", "filter") for q in (_list(body.get(part))) for t in query_terms(q, corpus)]
     if kind == "dis_max":
@@ -67,10 +69,17 @@ def query_terms(node: dict, corpus: Corpus) -> list[tuple[str, str]]:
     return []
 
 
+def _fields(body: dict, corpus: Corpus) -> list[str]:
+    for name in body["fields"]:
+        if name not in corpus.analyzers:
+            raise ValueError(f"no text field [{name}]")
+    return list(body["fields"])
+
+
 def needs_term(node: dict, corpus: Corpus) -> bool:
     """Whether only documents that have one of ``query_terms`` can match."""
     kind, body = _split(node)
-    if kind in ("match", "match_phrase"):
+    if kind in ("match", "match_phrase", "blended"):
         return bool(query_terms(node, corpus))
     if kind in ("term", "terms"):
         return _one(body, kind)[0] in corpus.analyzers
@@ -161,6 +170,27 @@ def bm25(env: Env, name: str, terms: list[str], all_needed: bool = False, st: Fi
     return stats.aggregate(F.filter(parts, lambda p: p.isNotNull()), "sum")
 
 
+def blended(body: dict, env: Env) -> Column:
+    """Terms over several fields as if these were one: a term's document frequency is its largest of the fields, and of the fields' scores the
+    best counts, with ``tie_breaker`` of the others. Terms add up."""
+    names, tie, out = _fields(body, env.corpus), float(body.get("tie_breaker", 0.0)), None
+    terms = list(dict.fromkeys(t for f, t in query_terms({"blended": body}, env.corpus)))
+    env.shape.append(f"{names} {len(terms)} {tie}")
+    found = F.lit(False)
+    for t in terms:
+        most = max(env.stats[f].df(t) for f in names)
+        parts = []
+        for f in names:
+            st = env.stats[f]
+            shared = FieldStats(st.doc_count, st.total_terms, {t: (min(most, st.doc_count), st.ttf(t))})
+            parts.append(bm25(env, f, [t], st=shared))
+        best = parts[0] if len(parts) == 1 else F.greatest(*parts)
+        total = _fold([F.coalesce(p, F.lit(0.0)) for p in parts], "sum")
+        score = F.coalesce(best + F.lit(tie) * (total - best), F.lit(0.0))
+        found, out = found | best.isNotNull(), score if out is None else out + score
+    return F.lit(None).cast("double") if out is None else F.when(found, out)
+
+
 # Columns of loops are built by functions of their own: each needs its own variables, and lambdas of arrays take no others.
 def _shifted(places: Column, k: int) -> Column:
     return F.transform(places, lambda x: x - k)
@@ -276,6 +306,7 @@ def geo_distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Co
     return F.asin(F.least(F.lit(1.0), F.sqrt(h))) * F.lit(2 * EARTH_M)
 
 
+RANGES = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}
 UNITS = {"mm": 0.001, "cm": 0.01, "m": 1.0, "km": 1000.0, "in": 0.0254, "ft": 0.3048, "yd": 0.9144, "mi": 1609.344, "nmi": 1852.0}
 
 
@@ -323,7 +354,7 @@ def _compile(kind: str, body: dict, env: Env) -> Column:
         name, spec = _one(body, kind)
         env.shape.append(f"{name} {sorted(spec)}")
         x, ok = env.column(name).cast("double"), F.lit(True)
-        for op, f in (("gt", lambda a, b: a > b), ("gte", lambda a, b: a >= b), ("lt", lambda a, b: a < b), ("lte", lambda a, b: a <= b)):
+        for op, f in RANGES.items():
             if op in spec:
                 ok = ok & f(x, env.double(spec[op]))
         return _when(ok, F.lit(1.0))
@@ -352,6 +383,8 @@ def _compile(kind: str, body: dict, env: Env) -> Column:
         best = parts[0] if len(parts) == 1 else F.greatest(*parts)
         total = _fold([F.coalesce(p, F.lit(0.0)) for p in parts], "sum")
         return best + env.double(body.get("tie_breaker", 0.0)) * (total - best)
+    if kind == "blended":
+        return blended(body, env)
     if kind == "function_score":
         query = compile_query(body["query"], env) if "query" in body else F.lit(1.0)
         specs = body.get("functions") or [{k: v for k, v in body.items() if k in ("field_value_factor", "weight")}]
@@ -366,18 +399,8 @@ def _compile(kind: str, body: dict, env: Env) -> Column:
         near = geo_distance_m(at["lat"], at["lon"], env.double(point["lat"]), env.double(point["lon"])) <= env.double(distance(body["distance"]))
         return _when(near, F.lit(1.0))
     if kind == "nested":
-        inner_kind, inner = _split(body["query"])
-        name, spec = _one(inner, inner_kind)
-        column = name.removeprefix(body["path"] + ".")
-        env.shape.append(f"{body['path']} {column} {inner_kind}")
-        rows = env.column(body["path"])
-        if inner_kind in ("term", "terms"):
-            wanted = env.strings(_list(spec["value"] if isinstance(spec, dict) else spec))
-            return _when(F.exists(rows, lambda r: F.array_contains(wanted, r[column].cast("string"))), F.lit(1.0))
-        if inner_kind == "match":
-            wanted = env.strings(analysis.analyze(str(spec["query"] if isinstance(spec, dict) else spec)))
-            return _when(F.exists(rows, lambda r: F.arrays_overlap(analysis.tokens(r[column]), wanted)), F.lit(1.0))
-        raise ValueError(f"[{inner_kind}] is not supported in nested")
+        env.shape.append(body["path"])
+        return _when(F.exists(env.column(body["path"]), lambda r: _element(body["query"], r, body["path"], env)), F.lit(1.0))
     if kind == "match_explorer":
         return explorer(body, env)
     if kind == "term_stat":
@@ -385,6 +408,43 @@ def _compile(kind: str, body: dict, env: Env) -> Column:
     raise ValueError(f"unknown query [{kind}]")
 
 
+def _element(node: dict, row: Column, path: str, env: Env) -> Column:
+    """Whether one element of a nested column matches."""
+    kind, body = _split(node)
+    env.shape.append(kind)
+    if kind == "match_all":
+        return F.lit(True)
+    if kind == "bool":
+        parts = {p: [_element(q, row, path, env) for q in _list(body.get(p))] for p in ("must", "filter", "should", "must_not")}
+        env.shape.append(str({p: len(q) for p, q in parts.items()}))
+        ok = F.lit(True)
+        for q in parts["must"] + parts["filter"]:
+            ok = ok & q
+        for q in parts["must_not"]:
+            ok = ok & ~q
+        least = int(body.get("minimum_should_match", 0 if parts["must"] or parts["filter"] else 1)) if parts["should"] else 0
+        env.shape.append(str(least))
+        return ok & (_fold([q.cast("int") for q in parts["should"]], "sum") >= least) if least else ok
+    name, spec = (body["field"], {}) if kind == "exists" else _one(body, kind)
+    env.shape.append(name)
+    value = row[name.removeprefix(path + ".")]
+    if kind == "exists":
+        return value.isNotNull()
+    if kind in ("term", "terms"):
+        hit = F.array_contains(env.strings(_list(spec["value"] if isinstance(spec, dict) else spec)), value.cast("string"))
+    elif kind == "match":
+        hit = F.arrays_overlap(analysis.tokens(value), env.strings(analysis.analyze(str(spec["query"] if isinstance(spec, dict) else spec))))
+    elif kind == "range":
+        env.shape.append(str(sorted(spec)))
+        hit = F.lit(True)
+        for op, f in RANGES.items():
+            if op in spec:
+                hit = hit & f(value.cast("double"), env.double(spec[op]))
+    else:
+        raise ValueError(f"[{kind}] is not supported in nested")
+    return F.coalesce(hit, F.lit(False))
+
+
 def _by_field(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for name, term in pairs:

@@ -148,6 +148,45 @@ class Trees(Ranker):
         return run(*(x[i].cast("float") for i in (used or [0])))
 
 
+@dataclass
+class Steps(Ranker):
+    """A weight for each (feature, threshold) that the feature is above."""
+
+    steps: list[tuple[int, float, float]] = field(default_factory=list)
+
+    def score(self, x: list[Column]) -> Column:
+        out = F.lit(0.0)
+        for i, threshold, w in self.steps:
+            if i >= len(x):
+                raise ValueError(f"feature {i + 1} is out of range")
+            above = F.coalesce(x[i].cast("float"), F.lit(0.0).cast("float")) > F.lit(float(threshold)).cast("float")
+            out = out + F.when(above, F.lit(float(w))).otherwise(F.lit(0.0))
+        return out
+
+
+@dataclass
+class Network(Ranker):
+    """Layers of logistic units over the numbered features. Of each layer: weights (inputs by units) and the weights of the constant input 1."""
+
+    inputs: list[int] = field(default_factory=list)
+    layers: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def score(self, x: list[Column]) -> Column:
+        if self.inputs and max(self.inputs) >= len(x):
+            raise ValueError(f"feature {max(self.inputs) + 1} is out of range")
+        layers = self.layers
+
+        @F.pandas_udf("double")
+        def run(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in it:
+                out = np.column_stack([c.to_numpy(np.float64, na_value=0.0) for c in columns])
+                for w, bias in layers:
+                    out = 1 / (1 + np.exp(-np.clip(out @ w + bias, -700, 700)))
+                yield pd.Series(out[:, 0])
+
+        return run(*(x[i].cast("float") for i in self.inputs))
+
+
 @dataclass
 class Model:
     name: str
@@ -245,25 +284,56 @@ def parse_tree_model(definition, features: FeatureSet) -> Trees:
     return Trees(dense=False, trees=[(1.0, read(t, 0)) for t in trees], normalizer=OBJECTIVES[objective])
 
 
+#: How the kinds of the text format that list numbered values are headed.
+WEIGHTED = ("coordinate ascent", "linear regression", "adarank")
+NETWORKS = ("ranknet", "lambdarank", "listnet")
+
+
 def parse_numbered(definition, features: FeatureSet | None = None) -> Ranker:
-    """The text format with numbered features: tree ensembles, linear regression, coordinate ascent."""
+    """The text format with numbered features: tree ensembles, weighted features, thresholds, networks."""
     text = str(definition).strip()
     lines = [x.strip() for x in text.splitlines()]
     kind = next((x.lstrip("# ").lower() for x in lines if x.startswith("##")), "")
-    rest = "\n".join(x for x in lines if not x.startswith("##")).strip()
-    if rest.startswith("<"):
-        return Trees(dense=True, trees=_xml_trees(rest), equal_left=True)
-    pairs = {}
-    for item in rest.split():
-        k, sep, v = item.partition(":")
-        if not sep:
-            raise ValueError(f"cannot read [{item}] of the model")
-        pairs[int(k)] = float(v)
-    if kind.startswith(("coordinate ascent", "linear regression")) and pairs:
-        return Linear(weights={k - 1: v for k, v in pairs.items() if k}, intercept=pairs.get(0, 0.0) if kind.startswith("linear") else 0.0)
+    rest = [x for x in lines if x and not x.startswith("##")]
+    if rest and rest[0].startswith("<"):
+        return Trees(dense=True, trees=_xml_trees("\n".join(rest)), equal_left=True)
+    if kind.startswith(NETWORKS):
+        return _network([x.split() for x in rest])
+    items = [item.split(":") for x in rest for item in x.split()]
+    try:
+        if kind.startswith("rankboost") and items:
+            return Steps(steps=[(int(k) - 1, float(t), float(w)) for k, t, w in items])
+        if kind.startswith(WEIGHTED) and items:
+            weights: dict[int, float] = {}
+            for k, w in items:
+                weights[int(k)] = weights.get(int(k), 0.0) + float(w)
+            return Linear(weights={k - 1: v for k, v in weights.items() if k}, intercept=weights.get(0, 0.0) if kind.startswith("linear") else 0.0)
+    except ValueError:
+        raise ValueError("cannot read the numbers of the model") from None
     raise ValueError(f"model kind [{kind}] is not supported")
 
 
+def _network(lines: list[list[str]]) -> Network:
+    """Lines: the feature numbers, how many hidden layers, the units of each, then layer, unit and the unit's weights into the next layer.
+
+    Layer 0 has the features and, last, the constant input, whose weights go to the units of all layers, in order.
+    """
+    try:
+        inputs, hidden = [int(x) - 1 for x in lines[0]], int(lines[1][0])
+        sizes = [len(inputs), *(int(lines[2 + i][0]) for i in range(hidden)), 1]
+        links = {(int(x[0]), int(x[1])): [float(w) for w in x[2:]] for x in lines[2 + hidden :]}
+        constant = links.pop((0, len(inputs)))
+        layers, at = [], 0
+        for i, (n, m) in enumerate(zip(sizes, sizes[1:])):
+            layers.append((np.array([links.pop((i, j)) for j in range(n)]).reshape(n, m), np.array(constant[at : at + m])))
+            at += m
+    except (KeyError, IndexError, ValueError):
+        raise ValueError("cannot read the network of the model") from None
+    if at != len(constant) or any(weights for weights in links.values()):
+        raise ValueError("the network's weights do not fit its layers")
+    return Network(inputs=inputs, layers=layers)
+
+
 def _xml_trees(text: str) -> list[tuple[float, Split | float]]:
     root = ET.fromstring(f"<all>{text}</all>")
 

@@ -9,23 +9,40 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.corpus import Corpus
+from ..sources.folder import new_path
 from . import models
 from .features import Evaluated, FeatureSet, evaluate
 
 MODES = ("total", "multiply", "avg", "max", "min")
 
 
-def ltr_query(corpus: Corpus, queries: dict[int, dict] | None, model: models.Model | None = None, featureset: FeatureSet | None = None, active_features: list[str] | None = None, candidates: dict[int, dict] | None = None, boost: float = 1.0, keep: list[str] | None = None) -> tuple[DataFrame, Evaluated]:
-    """``score`` of every query and document (or candidate). A model wins over a feature set, which scores the sum of its features."""
+def ltr_query(corpus: Corpus, queries: dict[int, dict] | None, model: models.Model | None = None, featureset: FeatureSet | None = None, active_features: list[str] | None = None, candidates: dict[int, dict] | None = None, boost: float = 1.0, keep: list[str] | None = None, cache: bool = False, scoring: bool = True) -> tuple[DataFrame, Evaluated]:
+    """``score`` of every query and document (or candidate). A model wins over a feature set, which scores the sum of its features.
+
+    With ``cache`` the features are written to the shared folder once, and scores, explanations and logs read them there. Without ``scoring``
+    (as a filter) no feature is evaluated: every document (or candidate) matches with the constant score ``boost``.
+    """
     if model is None and featureset is None:
         raise ValueError("either model or featureset must be set")
     if queries is None:
         raise ValueError("params are mandatory")
     model = model or models.sum_of(featureset)
+    if not scoring:
+        found = evaluate(corpus, queries, FeatureSet(model.features.name), None, candidates, model.default, keep)
+        return found.df.withColumn("score", F.lit(float(boost))), found
     found = evaluate(corpus, queries, model.features, active_features, candidates, model.default, keep)
+    if cache:
+        found = cached(found)
     return found.df.withColumn("score", model.score(found.values()) * F.lit(float(boost))), found
 
 
+def cached(found: Evaluated) -> Evaluated:
+    """The same features, evaluated once and kept in the shared folder, which an executor's loss does not touch."""
+    spark, path = found.df.sparkSession, new_path(found.df.sparkSession, "features")
+    found.df.write.parquet(path)
+    return Evaluated(spark.read.schema(found.df.schema).parquet(path), found.set, found.logs)
+
+
 def inline_query(corpus: Corpus, queries: dict[int, dict], features: list[dict], model: str, **more) -> tuple[DataFrame, Evaluated]:
     """A query of unnamed features and a model given in place; without either every document matches with score 1."""
     from .features import Feature

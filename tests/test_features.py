@@ -165,3 +165,22 @@ def test_stream_of_queries(spark, corpus, tmp_path):
     q = score_stream(stream, corpus, m, lambda df, n: got.extend(df.collect()), candidates=lambda p: {"match": {"field1": p["query"]}}).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["qid"], r["doc_id"], r["rank"]) for r in got] == [(7, 1, 1)]
+
+
+def test_filter_mode_and_cache(corpus, monkeypatch):
+    found = ranking.ltr_query(corpus, {1: {}}, featureset=features(), scoring=False, boost=2.0)[0]  # no parameter is needed
+    assert {(r["doc_id"], r["score"]) for r in found.collect()} == {(1, 2.0), (2, 2.0)}
+    some = ranking.ltr_query(corpus, {1: {}}, featureset=features(), scoring=False, candidates={1: {"match": {"field1": "hello"}}})[0]
+    assert [r["doc_id"] for r in some.collect()] == [1]
+    plain = ranking.ltr_query(corpus, {1: {"query": "hello"}}, featureset=features())
+    scored, kept = ranking.ltr_query(corpus, {1: {"query": "hello"}}, featureset=features(), cache=True)
+    assert sorted(map(str, scored.collect())) == sorted(map(str, plain[0].collect()))
+    assert "features-" in kept.df.inputFiles()[0]
+    logged = ranking.log_features({}, [kept], [ranking.LogSpec(rescore_index=0)])
+    assert logged.count() == 2
+
+
+def test_many_queries_make_one_plan(corpus):
+    asked = {q: {"query": "hello" if q % 2 else "other"} for q in range(1000)}
+    found = evaluate(corpus, asked, features(), candidates={q: {"match": {"field1": p["query"]}} for q, p in asked.items()}, keep=[])
+    assert found.df.count() == 1000 and found.df._jdf.queryExecution().optimizedPlan().toString().count("Union") <= 1

@@ -81,6 +81,23 @@ def test_numbered_text(score):
     assert score(parse("model/ranklib", "## Linear Regression\n## Lambda = 1.0E-10\n0:0.25 1:2"), [1, 3]) == [2.25]
     with pytest.raises(ValueError):
         parse("model/ranklib", "## RankNet\n1:2")
+
+
+def logistic(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def test_networks_and_thresholds(score):
+    net = "## RankNet\n## No. of hidden layers = 1\n1 2\n1\n2\n0 0 0.5 -1.0\n0 1 0.25 2.0\n0 2 0.1 -0.2 0.3\n1 0 1.5\n1 1 -0.5\n2 0\n"
+    a, b = logistic(0.5 * 2 + 0.25 * 3 + 0.1), logistic(-2 + 6 - 0.2)
+    assert score(parse("model/ranklib", net), [2, 3], [None, 3])[0] == pytest.approx(logistic(1.5 * a - 0.5 * b + 0.3))
+    flat = "## ListNet\n2 1\n0\n0 0 0.5\n0 1 -1\n0 2 0.25"
+    assert score(parse("model/ranklib", flat), [2, 3]) == [pytest.approx(logistic(0.5 * 3 - 2 + 0.25))]
+    assert score(parse("model/ranklib", "## AdaRank\n2:0.5 1:2 2:0.25"), [1, 4]) == [5.0]
+    assert score(parse("model/ranklib", "## RankBoost\n1:0.5:2.0 2:3.0:0.25 1:1.0:-1.0"), [1, 4], [1.5, 3], [None, None]) == [2.25, 1.0, 0.0]
+    for bad in ("## LambdaRank\n1 2\n1\n2\n0 0 1 1", "## RankBoost\n1:2", "## ListNet\n1\n0\n0 0 0.5\n0 1 1 1", "## Other\n1:2"):
+        with pytest.raises(ValueError):
+            parse("model/ranklib", bad)
     with pytest.raises(ValueError):
         parse("model/nope", "")
 

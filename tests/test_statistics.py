@@ -100,6 +100,38 @@ def test_geo_nested_and_phrases(spark):
     assert set(scores(c, {"match_phrase": {"text": "a b"}})) == {1}
     assert set(scores(c, {"match_phrase": {"text": {"query": "a b", "slop": 1}}})) == {1, 2}
     assert set(scores(c, {"exists": {"field": "place"}})) == {1, 2}
+    nested = lambda q: set(scores(c, {"nested": {"path": "parts", "query": q}}))
+    assert nested({"bool": {"must": [{"exists": {"field": "parts.k"}}], "must_not": [{"match": {"parts.k": "x"}}]}}) == {2}
+    assert nested({"bool": {"should": [{"terms": {"parts.k": ["x"]}}, {"match": {"parts.k": "Y"}}]}}) == {1, 2} and nested({"match_all": {}}) == {1, 2}
+
+
+def test_blended(spark):
+    """A term's frequency in documents is the larger of the two fields', as if the fields were one."""
+    c = Corpus(spark.createDataFrame([(1, "cow", "brown"), (2, "brown cow", "cow"), (3, "x", "cow cow")], "doc_id long, a string, b string"), "doc_id", ["a", "b"])
+    got = scores(c, {"blended": {"query": "cow", "fields": ["a", "b"], "tie_breaker": 0.5}})
+    idf = math.log(1 + (3 - 2 + 0.5) / (2 + 0.5))
+    part = lambda f, n, avg: idf * 2.2 * f / (f + 1.2 * (0.25 + 0.75 * n / avg))
+    assert got == {1: pytest.approx(part(1, 1, 4 / 3)), 2: pytest.approx(max(part(1, 2, 4 / 3), part(1, 1, 4 / 3)) + 0.5 * min(part(1, 2, 4 / 3), part(1, 1, 4 / 3))), 3: pytest.approx(part(2, 2, 4 / 3))}
+
+
+def test_index_answers_as_a_scan(spark, tmp_path):
+    """Postings, statistics and scores with an index equal those without; the index is loaded again, and foreign ones are refused."""
+    rows = [(i, t, t[::-1] if i % 2 else None) for i, t in enumerate(TEXTS)] + [(6, None, "cow"), (7, "", "")]
+    plain = Corpus(spark.createDataFrame(rows, "doc_id long, text string, other string"), "doc_id", ["text", "other"])
+    built = plain.build(f"file://{tmp_path}/ix", buckets=3)
+    again = Corpus.load(plain.df, f"file://{tmp_path}/ix")
+    assert again.analyzers == plain.analyzers
+    for c in (built, again):
+        for f in ("text", "other"):
+            for rows_of in (lambda x: x.postings(f), lambda x: x.postings(f, ["cow", "dance", "nowhere"]), lambda x: x.term_stats(f), lambda x: x.field_stats(f)):
+                a, b = (sorted(map(str, rows_of(x).select(sorted(rows_of(x).columns)).collect())) for x in (plain, c))
+                assert a == b
+        for node in ({"match": {"text": "brown cow"}}, {"match_phrase": {"text": "through to"}}, {"term_stat": {"expr": "tf + tp + df", "terms": ["cow dance"], "fields": ["*"], "pos_aggr": "stddev"}}):
+            assert scores(c, node) == pytest.approx(scores(plain, node))
+    plan = again.postings("text", ["cow"]).select("doc_id", "tf")._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "positions" not in plan.split("ReadSchema")[-1].split("\n")[0]
+    with pytest.raises(ValueError):
+        Corpus(plain.df, "doc_id", {"text": "whitespace"}, f"file://{tmp_path}/ix")
 
 
 def test_postings(corpus):
