@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 from collections.abc import Callable
 
@@ -85,7 +87,7 @@ def _scored(model: Callable[[FeatureSet], models.Model], **more) -> Callable[[Sp
 # SQL of what most queries need: terms of documents, statistics of the query terms, BM25, and the base features.
 _Q = ", ".join(f"({q}, '{t}')" for q, k in KEYWORDS.items() for t in k.split())
 SQL = f"""WITH q(qid, term) AS (VALUES {_Q}),
-tok AS (SELECT doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents) WHERE len(t) > 0),
+tok AS MATERIALIZED (SELECT doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents) WHERE len(t) > 0),
 dl AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
 fs AS (SELECT count(*)::DOUBLE AS docs, sum(n)::DOUBLE AS total FROM dl),
 post AS (SELECT doc_id, term, count(*)::DOUBLE AS tf, min(pos)::DOUBLE AS lo, max(pos)::DOUBLE AS hi, avg(pos) AS mid FROM tok WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
@@ -162,13 +164,15 @@ _add("match_all_terms", _single(lambda q: {"match": {"text": {"query": KEYWORDS[
 _add("term_bm25", _single(lambda q: {"term": {"text": KEYWORDS[q].split()[0]}}), _sql("SELECT qid, doc_id, round(bm, 6) AS score FROM hit WHERE (qid, term) IN ((1, 'the'), (2, 'was'), (3, 'der'))"))
 _PHRASES = {1: "of the", 2: "was the", 3: "the and"}
 _PQ = ", ".join(f"({q}, '{p.split()[0]}', '{p.split()[1]}')" for q, p in _PHRASES.items())
+_PHRASE_TERMS = ", ".join(sorted({f"'{t}'" for p in _PHRASES.values() for t in p.split()}))
 _PHRASE = f""", ph(qid, a, b) AS (VALUES {_PQ}),
-pw AS (SELECT term, ln(1 + (docs - df + 0.5) / (df + 0.5)) AS w FROM (SELECT term, count(DISTINCT doc_id)::DOUBLE AS df FROM tok GROUP BY term) AS x CROSS JOIN fs),
-occ AS (SELECT qid, x.doc_id, ph.a, ph.b, x.pos, (SELECT 1) AS one FROM ph JOIN tok AS x ON x.term = ph.a JOIN tok AS y ON y.doc_id = x.doc_id AND y.pos = x.pos + 1 AND y.term = ph.b),
+pt AS MATERIALIZED (SELECT doc_id, term, pos FROM tok WHERE term IN ({_PHRASE_TERMS})),
+pw AS (SELECT term, ln(1 + (docs - df + 0.5) / (df + 0.5)) AS w FROM (SELECT term, count(DISTINCT doc_id)::DOUBLE AS df FROM pt GROUP BY term) AS x CROSS JOIN fs),
+occ AS (SELECT qid, x.doc_id, ph.a, ph.b, x.pos, (SELECT 1) AS one FROM ph JOIN pt AS x ON x.term = ph.a JOIN pt AS y ON y.doc_id = x.doc_id AND y.pos = x.pos + 1 AND y.term = ph.b),
 fr AS (SELECT qid, doc_id, a, b, count(*)::DOUBLE AS f FROM occ GROUP BY qid, doc_id, a, b)
 SELECT qid, fr.doc_id, round((u.w + v.w) * 2.2 * f / (f + 1.2 * (0.25 + 0.75 * n / (total / docs))), 6) AS score FROM fr JOIN pw AS u ON u.term = a JOIN pw AS v ON v.term = b JOIN dl ON dl.doc_id = fr.doc_id CROSS JOIN fs"""
 _add("match_phrase", _single(lambda q: {"match_phrase": {"text": _PHRASES[q]}}), SQL + _PHRASE)
-_SLOP = _PHRASE.replace("AND y.pos = x.pos + 1 AND y.term = ph.b)", "AND y.pos > x.pos AND y.pos <= x.pos + 2 AND y.term = ph.b)").replace("x.pos, (SELECT 1) AS one", "x.pos, min(y.pos) - x.pos - 1 AS extra").replace("y.term = ph.b)", "y.term = ph.b GROUP BY qid, x.doc_id, ph.a, ph.b, x.pos)").replace("count(*)::DOUBLE AS f", "sum(1.0 / (1 + extra)) AS f")
+_SLOP = _PHRASE.replace("y.pos = x.pos + 1 AND y.term = ph.b)", "y.pos BETWEEN x.pos + 1 AND x.pos + 2 AND y.term = ph.b GROUP BY qid, x.doc_id, ph.a, ph.b, x.pos)").replace("x.pos, (SELECT 1) AS one", "x.pos, min(y.pos) - x.pos - 1 AS extra").replace("count(*)::DOUBLE AS f", "sum(1.0 / (1 + extra)) AS f")
 _add("match_phrase_slop", _single(lambda q: {"match_phrase": {"text": {"query": _PHRASES[q], "slop": 1}}}), SQL + _SLOP)
 _add(
     "bool_filter",
@@ -193,6 +197,37 @@ _add("ids_filter", _single(lambda q: {"ids": {"values": [q, q + 1, q + 2, -1]}})
 _add("boosted_match", _single(lambda q: {"match": {"text": {"query": KEYWORDS[q], "boost": 2.5}}}), _feat_sql("bm25 * 2.5"))
 
 
+def geo_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers near a point; their places are made from their keys."""
+    key = F.col("c_custkey").cast("double")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.struct((key % 170 - 85).alias("lat"), (key * 7 % 360 - 180).alias("lon")).alias("place"))
+    one = FeatureSet("near", (Feature("near", (), "mustache", {"geo_distance": {"distance": "2500km", "place": {"lat": 40.0, "lon": 10.0}}}),))
+    return evaluate(Corpus(rows, "c_custkey", []), {1: {}}, one, keep=[]).df.where("f0 is not null").select("qid", "c_custkey", F.col("f0").alias("score"))
+
+
+_add(
+    "geo_distance",
+    geo_distance,
+    """WITH c AS (SELECT c_custkey, c_custkey::DOUBLE % 170 - 85 AS lat, c_custkey::DOUBLE * 7 % 360 - 180 AS lon FROM customer),
+h AS (SELECT c_custkey, pow(sin((radians(40) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(40)) * pow(sin(radians(10 - lon) / 2), 2) AS h FROM c)
+SELECT 1::BIGINT AS qid, c_custkey, 1.0::DOUBLE AS score FROM h WHERE 2 * 6371008.7714 * asin(least(1, sqrt(h))) <= 2500000""",
+)
+
+
+def nested_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with a turn of the assistant from the fourth on."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("turns"))
+    query = {"nested": {"path": "turns", "query": {"bool": {"must": [{"term": {"turns.role": "assistant"}}], "filter": [{"range": {"turns.turn": {"gte": 3}}}]}}}}
+    found = evaluate(Corpus(turns, "conv_id", []), {1: {}}, FeatureSet("late", (Feature("late", (), "mustache", query),)), keep=[])
+    return found.df.where("f0 is not null").select("qid", "conv_id", F.col("f0").alias("score"))
+
+
+_add("nested_bool", nested_bool, "SELECT DISTINCT 1::BIGINT AS qid, conv_id, 1.0::DOUBLE AS score FROM conversations WHERE role = 'assistant' AND turn >= 3")
+_add("blended_one_field", _single(lambda q: {"blended": {"query": KEYWORDS[q], "fields": ["text"], "tie_breaker": 0.01}}), _sql("SELECT qid, doc_id, round(sum(bm), 6) AS score FROM hit GROUP BY qid, doc_id"))
+_add("filter_mode", lambda s, d: ranking.ltr_query(corpus(s, d), PARAMS, featureset=base_set(), keep=[], scoring=False)[0].select("qid", "doc_id", "score"), _sql(f"SELECT qid, doc_id, 1.0::DOUBLE AS score FROM {_QIDS} AS x CROSS JOIN documents"))
+_add("validate_feature", lambda s, d: ranking.validate(corpus(s, d), PARAMS[1], feature=base_set().features[0], limit=10**9), "SELECT 0::BIGINT AS qid, doc_id, 0.0::DOUBLE AS score FROM documents ORDER BY doc_id LIMIT 20")
+
+
 # Formulas over features.
 def _derived(name: str, expr: str, sql: str, *params: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +266,10 @@ RANKLIB = """## LambdaMART
 _add("model_ranklib_tree", _scored(lambda f: models.parse_model("m", "model/ranklib", RANKLIB, f)), _feat_sql("(CASE WHEN tf_sum <= 5 THEN 0.2 ELSE 0.4 END + CASE WHEN coalesce(is_en, 0) <= 0 THEN -0.5 ELSE 0.5 END)::DOUBLE"))
 _add("model_ranklib_linear", _scored(lambda f: models.parse_model("m", "model/ranklib", "## Linear Regression\n## Lambda = 1.0E-10\n0:0.25 1:1.5 2:0.125", f)), _feat_sql("0.25 + 1.5 * bm25 + 0.125 * tf_sum"))
 _add("model_ranklib_coordinate_ascent", _scored(lambda f: models.parse_model("m", "model/ranklib", "## Coordinate Ascent\n1:0.5 2:0.25 4:1", f)), _feat_sql("0.5 * bm25 + 0.25 * tf_sum + coalesce(is_en, 0)"))
+_add("model_ranklib_adarank", _scored(lambda f: models.parse_model("m", "model/ranklib", "## AdaRank\n2:0.5 1:2.0 2:0.25", f)), _feat_sql("0.75 * tf_sum + 2 * bm25"))
+_add("model_ranklib_rankboost", _scored(lambda f: models.parse_model("m", "model/ranklib", "## RankBoost\n2:5.0:0.5 4:0.5:2.0 2:20.0:-0.25", f)), _feat_sql("(CASE WHEN tf_sum > 5 THEN 0.5 ELSE 0 END + CASE WHEN coalesce(is_en, 0) > 0.5 THEN 2 ELSE 0 END - CASE WHEN tf_sum > 20 THEN 0.25 ELSE 0 END)::DOUBLE"))
+_NET = "## RankNet\n2 4\n1\n2\n0 0 0.05 -0.02\n0 1 0.5 1.5\n0 2 -0.3 0.2 0.1\n1 0 1.25\n1 1 -0.75\n2 0"
+_add("model_ranklib_ranknet", _scored(lambda f: models.parse_model("m", "model/ranklib", _NET, f)), _feat_sql("1 / (1 + exp(-(1.25 / (1 + exp(-(0.05 * tf_sum + 0.5 * coalesce(is_en, 0) - 0.3))) - 0.75 / (1 + exp(-(-0.02 * tf_sum + 1.5 * coalesce(is_en, 0) + 0.2))) + 0.1)))"))
 _MISSING = [_node(0, "is_en", 0.5, {"nodeid": 1, "leaf": 0.2}, {"nodeid": 2, "leaf": 0.7}, 2)]
 _add("model_missing_branch", _scored(lambda f: models.parse_model("m", "model/xgboost+json", _MISSING, f)), _feat_sql("CASE WHEN is_en < 0.5 THEN 0.2::DOUBLE ELSE 0.7 END"))
 
@@ -289,6 +328,17 @@ _add("feature_log_long", _log(False), _sql(_LONG.format(*[""] * 10)))
 _add("missing_as_zero_log", _log(True), _sql(_LONG.format(*["coalesce(", ", 0)"] * 5)))
 
 
+def rescore_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the best hundred of each query, as a rescoring stage logs them from its cache."""
+    scored, found = ranking.ltr_query(corpus(spark, sf_dir), PARAMS, featureset=base_set(), candidates=_candidates(), keep=[], cache=True)
+    best = ranking.top(scored.withColumn("base", F.round("candidate_score", 6)), 100, "base").select("qid", "doc_id")
+    logged = ranking.log_features({}, [found], [ranking.LogSpec(rescore_index=0, name="log")]).join(best, ["qid", "doc_id"], "left_semi")
+    return logged.select("qid", "doc_id", F.posexplode(F.col("ltrlog")["log"]).alias("ordinal", "e")).select("qid", "doc_id", "ordinal", F.col("e.name").alias("name"), F.round(F.col("e.value").cast("double"), 2).alias("value"))
+
+
+_add("rescore_index_log", rescore_log, _sql(", top AS (SELECT qid AS tq, doc_id AS td, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, doc_id) AS r FROM feat) SELECT l.* FROM (" + _LONG.format(*[""] * 10) + ") AS l JOIN top ON tq = qid AND td = doc_id WHERE r <= 100"))
+
+
 def explain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evaluate(corpus(spark, sf_dir), PARAMS, base_set(), candidates=_candidates(), keep=[])
     rows = found.df.select("qid", "doc_id", F.explode(ranking.explain(found)).alias("e"))
@@ -391,7 +441,9 @@ _add(
 
 
 def _stores() -> Stores:
-    s = Stores(tempfile.mkdtemp(prefix="lumenrank-store-"))
+    folder = tempfile.mkdtemp(prefix="lumenrank-store-")  # of the driver, which alone reads and writes it; gone when the process ends
+    atexit.register(shutil.rmtree, folder, True)
+    s = Stores(folder)
     s.create_store()
     s.create_store("second")
     for f in base_set().features:

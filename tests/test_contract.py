@@ -11,7 +11,7 @@ from lumenrank import queries as own
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 #: One of each kind; the driver runs all.
-NAMES = ["postings_topterms", "field_stats", "explorer_stddev_classic_idf", "explorer_avg_raw_tp", "term_stat_tp_posaggr_min", "match_phrase_slop", "bool_filter", "derived_functions", "model_xgb_dump", "model_large_ensemble", "feature_log_long", "rescore_chain", "training_set_join", "ndcg_at_10", "script_feature", "template_render", "flagship"]
+NAMES = ["postings_topterms", "match_phrase", "geo_distance", "nested_bool", "filter_mode", "validate_feature", "model_ranklib_ranknet", "model_ranklib_rankboost", "rescore_index_log", "blended_one_field", "field_stats", "explorer_stddev_classic_idf", "explorer_avg_raw_tp", "term_stat_tp_posaggr_min", "match_phrase_slop", "bool_filter", "derived_functions", "model_xgb_dump", "model_large_ensemble", "feature_log_long", "rescore_chain", "training_set_join", "ndcg_at_10", "script_feature", "template_render", "flagship"]
 
 
 def plain(v):
