@@ -114,5 +114,21 @@ FROM e
 """
 
 
+#: WARC records of the pages: digests as base32 of SHA-1's 160 bits, five at a time. Page ids are unique and not null in the tables that SQL is run on.
+OP1_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits, min(page_id) OVER (PARTITION BY html) AS first,
+    CASE WHEN coalesce(url, '') = '' THEN 'urn:page:' || page_id ELSE url END AS url
+  FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, i * 5 + 1, 1)::INT + 8 * substr(bits, i * 5 + 2, 1)::INT
+    + 4 * substr(bits, i * 5 + 3, 1)::INT + 2 * substr(bits, i * 5 + 4, 1)::INT + substr(bits, i * 5 + 5, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, url
+FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tool_call_linking": OP3_SQL}
+    return {"op1_warc": OP1_SQL, "op3_tool_call_linking": OP3_SQL}
