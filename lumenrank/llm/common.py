@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,22 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folder import new_path, shared_dir  # noqa: F401
+
 #: Bytes of text that a Python worker takes at a time, whatever the size of an Arrow batch.
 SLICE_BYTES = 4 << 20
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, where it is unset (tests), one of our own."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        app = spark.sparkContext.applicationId
-        conf = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lumenrank-"))
-    return conf.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
