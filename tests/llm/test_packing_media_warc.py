@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import io
 import random
+import struct
 import zipfile
 import zlib
 
@@ -75,10 +76,95 @@ def test_media(spark):
             media.encode(bad)
     with pytest.raises(ValueError):
         media.describe(media.encode(bytes(64))[:-1])
-    got = {r["doc_id"]: r for r in media.media_columns(docs(spark, ["", None, "é" * 32, "é" * 32, "x" * 65])).collect()}
+    stored = media.store_media(docs(spark, ["", None, "é" * 32, "é" * 32, "x" * 65]))
+    got = {r["doc_id"]: r for r in media.describe_media(stored, digests=True).collect()}
     assert [got[i]["payload_bytes"] for i in range(5)] == [64, 64, 64, 64, 128] and got[2]["media_sha256"] == got[3]["media_sha256"]
     assert got[4]["payload_sha256"] == hashlib.sha256(b"x" * 65 + bytes(63)).hexdigest() and got[4]["tail_crc32"] == zlib.crc32(b"x" + bytes(63))
-    assert media.media_columns(docs(spark, [])).count() == 0
+    files = {r["doc_id"]: bytes(r["media"]) for r in stored.collect()}
+    assert all(got[i]["media_bytes"] == len(f) and got[i]["media_sha256"] == hashlib.sha256(f).hexdigest() for i, f in files.items())
+    assert got[4]["feature"] == "raw;ms=16;n=2;key=1;at=%d-%d,%d-%d" % ((len(files[4]) - 128, len(files[4]) - 64) * 2)  # the first keyframe is the last
+    assert media.describe_media(media.store_media(docs(spark, []))).count() == 0
+
+
+def _trak(number, handler, entry, sizes, offsets, per, sync=None, duration=0):
+    """A track whose chunks hold ``per`` samples each."""
+    full, box = media._full, media._box
+    tables = [
+        full(b"stsd", struct.pack(">I", 1), entry),
+        full(b"stts", struct.pack(">III", 1, len(sizes), 10)),
+        full(b"stsc", struct.pack(">IIII", 1, 1, per, 1)) if offsets else full(b"stsc", bytes(4)),
+        full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)),
+        full(b"stco", struct.pack(f">I{len(offsets)}I", len(offsets), *offsets)),
+    ]
+    if sync is not None:
+        tables.append(full(b"stss", struct.pack(f">I{len(sync)}I", len(sync), *sync)))
+    head = full(b"mdhd", struct.pack(">IIIII", 0, 0, 1000, duration, 0))
+    tkhd = full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0))
+    return box(b"trak", tkhd, box(b"mdia", head, full(b"hdlr", bytes(4), handler, bytes(13)), box(b"minf", box(b"stbl", *tables))))
+
+
+def _two_tracks():
+    """Video of 4 samples in 2 chunks, protected, keyframes 1 and 3; audio of 2 samples; chunks alternate."""
+    box, full = media._box, media._full
+    hidden = box(b"sinf", box(b"frma", b"avc1"))
+    video, audio = box(b"encv", bytes(78), hidden), box(b"mp4a", bytes(28), full(b"esds", bytes(3)))
+    data = bytes(range(100))
+    for base in (0, None):
+        at = 0 if base == 0 else len(moov) + 8
+        v = _trak(1, b"vide", video, [5, 6, 7, 8], [at, at + 31], 2, [1, 3], 40)
+        a = _trak(2, b"soun", audio, [20, 30], [at + 11, at + 46], 1, None, 0)
+        moov = box(b"moov", v, a)
+    return moov + box(b"mdat", data), len(moov) + 8, data
+
+
+def _fragments(sizes, at_moof):
+    """A file without samples of its own and two fragments; sizes in the run, keyframes by flags."""
+    box, full = media._box, media._full
+    trex = full(b"trex", struct.pack(">5I", 7, 1, 25, 0, 0x10000))
+    out = box(b"moov", _trak(7, b"vide", box(b"hvc1", bytes(78)), [], [], 1), box(b"mvex", trex))
+    keys, payload = [], b""
+    for i in range(2):
+        def moof(offset):
+            run = full(b"trun", struct.pack(f">IiI{len(sizes)}I", len(sizes), offset, 0, *sizes), flags=0x1 | 0x4 | 0x200)
+            return box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000 if at_moof else 0), run))
+        size = len(moof(0))
+        body = bytes([i + 1]) * sum(sizes)
+        start = len(out) + size + 8
+        out += moof(size + 8) + box(b"mdat", body)
+        keys.append((start, start + sizes[0]))
+        payload += body
+    return out, keys, payload
+
+
+def test_media_tracks_and_fragments(spark):
+    two, at, data = _two_tracks()
+    video, audio = media.describe(two)["tracks"]
+    assert (video["codec"], audio["codec"], video["handler"], audio["id"]) == ("avc1", "mp4a", "vide", 2)
+    assert video["keyframes"] == [(at, at + 5), (at + 31, at + 38)] and audio["keyframes"] == [(at + 11, at + 31), (at + 46, at + 76)]
+    assert (video["duration"], audio["duration"]) == (40, 20)  # a duration of 0 is taken from the samples
+    assert media.read_payload(two) == data[:11] + data[31:46] + data[11:31] + data[46:76]
+    for at_moof in (True, False):
+        parts, keys, payload = _fragments([3, 4, 9], at_moof)
+        info = media.describe(parts)
+        assert info["keyframes"] == keys and info["samples"] == 6 and info["duration"] == 150 and media.read_payload(parts) == payload
+    deep = b""
+    for _ in range(2000):
+        deep = media._box(b"moov", deep)
+    broken = [b"", b"abc", two[:-1], deep, two.replace(b"stsz", b"xxxx"), media._box(b"moov", media._box(b"trak", media._full(b"mdhd")))]
+    rnd = random.Random(3)
+    for _ in range(400):  # whatever the bytes are, a description or a ValueError
+        bad = bytearray(rnd.choice([two, parts]))
+        for _ in range(3):
+            bad[rnd.randrange(len(bad))] = rnd.randrange(256)
+        try:
+            media.describe(bytes(bad))
+        except ValueError:
+            pass
+    rows = [(i, f, "x", 1) for i, f in enumerate([two, None, *broken])]
+    got = {r["k"]: r for r in media.describe_media(spark.createDataFrame(rows, "k int, media binary, feature string, other int"), digests=True).collect()}
+    assert [t["codec"] for t in got[0]["tracks"]] == ["avc1", "mp4a"] and got[0]["error"] is None and got[0]["other"] == 1
+    assert got[1]["media_bytes"] is None and got[1]["error"] is None and got[1]["feature"] is None
+    assert all(got[i]["error"] and got[i]["tracks"] is None and got[i]["media_bytes"] == len(broken[i - 2]) for i in range(2, len(rows)))
 
 
 def test_zip_directories():
