@@ -57,7 +57,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int,
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).where(F.col("i").isNotNull())
     rows = texts.join(F.broadcast(picked.distinct()), "i")  # at most 2 * per_class ids are broadcast
     # Equal texts of a label count once, by their smallest id; of an id's different texts the one of the smallest hash is taken.
-    rows = rows.withColumns({"h": F.sha2("t", 256), "b": F.octet_length("t").cast("long")})
+    # All texts are read once: those of the picked ids are written down, and both what is chosen and its texts come from there.
+    rows = common.materialize(rows.withColumns({"h": F.sha2("t", 256), "b": F.octet_length("t").cast("long")}), "labelled")
     order = F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 62))
     one = rows.select("i", "y", "h", "b").groupBy("i", "y").agg(F.min(F.struct("h", "b")).alias("m")).groupBy("y", "m").agg(F.min(F.struct(order.alias("o"), F.col("i"))).alias("k"))
     chosen, total = [], 0
