@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +33,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def release() -> None:
+    """Gives freed memory back to the system; Python workers wait for later tasks and would keep it beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that ``column`` holds about ``limit`` bytes in each, or one row if that is longer."""
+    """Cuts batches so that ``column`` holds about ``limit`` bytes in each, or one row if that is longer. After the last, freed memory is given back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -43,6 +52,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(start + 1, int(np.searchsorted(size, done + limit, side="right")))
             yield batch.slice(start, end - start)
             start, done = end, int(size[end - 1])
+    batch = size = None
+    release()
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
