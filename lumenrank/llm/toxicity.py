@@ -36,6 +36,8 @@ K = 16
 BLOCK, FIRST, BATCH = 256, 4, 256
 #: Terms that a larger share of the examples has are a matrix instead of postings.
 HEAVY = 0.03
+#: Bytes of text at a time: words, numbers and sorted keys of a text take several times its size beside the index.
+SLICE = 1 << 20
 #: Above the rounding of products of 32 bits.
 MARGIN = 1e-5
 MIN_G = 20.0
@@ -110,7 +112,7 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(ids) + 1, np.int64)
-        for batch in common.slices(batches, "t"):
+        for batch in common.slices(batches, "t", SLICE):
             df[:-1] += np.bincount(_terms(batch.column("t"), ids)[0] % len(ids), minlength=len(ids))
             df[-1] += batch.num_rows
         at = np.flatnonzero(df)
@@ -166,12 +168,30 @@ class Index:
         rows, terms, weights = rows[~at], terms[~at], weights[~at]
         order = np.lexsort((rows, terms))
         rows, terms, weights = rows[order], terms[order], weights[order]
+        own = np.array([labels[i] for i in keep], float), np.array([ids[i] for i in keep], np.int64)
+        return cls(idf, *own, *cls._entries(terms, rows, weights, len(idf)), rows, weights, column, cells, values)
+
+    @staticmethod
+    def _entries(terms: np.ndarray, rows: np.ndarray, weights: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where terms' entries begin, the entries' blocks and largest weights, and where their postings begin."""
         block = rows // BLOCK
         head = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])[: len(rows)])
         most = np.maximum.reduceat(weights, head) if len(head) else weights
-        entries = np.searchsorted(terms[head], np.arange(len(idf) + 1))
-        own = np.array([labels[i] for i in keep], float), np.array([ids[i] for i in keep], np.int64)
-        return cls(idf, *own, entries, block[head], most, np.concatenate([head, [len(rows)]]), rows, weights, column, cells, values)
+        return np.searchsorted(terms[head], np.arange(n_terms + 1)), block[head], most, np.concatenate([head, [len(rows)]])
+
+    def __getstate__(self) -> dict:
+        """For tasks: no entries, which postings give again, and numbers as short as they may be. A worker keeps these bytes beside the index."""
+        short = np.min_scalar_type(max(self.cells.max(initial=0), len(self.ids)))
+        per_term, per_row = np.diff(self.postings[self.entries]), np.diff(self._cells_of)
+        return {"idf": self.idf, "labels": self.labels, "ids": self.ids, "column": self.column, "weights": self.weights, "values": self.values} | {
+            k: v.astype(short) for k, v in (("rows", self.rows), ("per_term", per_term), ("per_row", per_row), ("columns", self.cells[1]))
+        }
+
+    def __setstate__(self, state: dict) -> None:
+        rows, per_term, per_row, columns = (state.pop(k).astype(np.int32) for k in ("rows", "per_term", "per_row", "columns"))
+        self.__dict__.update(state, rows=rows, cells=np.stack([np.repeat(np.arange(len(per_row), dtype=np.int32), per_row), columns]))
+        terms = np.repeat(np.arange(len(per_term), dtype=np.int32), per_term)
+        self.entries, self.blocks, self.block_max, self.postings = self._entries(terms, rows, self.weights, len(self.idf))
 
     def weigh(self, counts: Counts) -> Counts:
         """Terms and weights of a vector of length 1."""
@@ -183,15 +203,23 @@ class Index:
         return (t, w / norm) if norm else (t[:0], w[:0])
 
     @cached_property
-    def heavy(self) -> np.ndarray:
-        """Examples by heavy terms, made where it is used."""
-        matrix = np.zeros((len(self.ids), int(self.column.max(initial=-1)) + 1))
-        matrix[self.cells[0], self.cells[1]] = self.values
+    def _product(self) -> np.ndarray:
+        """Heavy terms by examples in 32 bits, made where it is used. The only matrix: doubles are summed from the cells, which are sorted by row."""
+        matrix = np.zeros((int(self.column.max(initial=-1)) + 1, len(self.ids)), np.float32)
+        matrix[self.cells[1], self.cells[0]] = self.values
         return matrix
 
     @cached_property
-    def _product(self) -> np.ndarray:
-        return np.ascontiguousarray(self.heavy.T, np.float32)
+    def _cells_of(self) -> np.ndarray:
+        """Where each example's cells begin."""
+        return np.searchsorted(self.cells[0], np.arange(len(self.ids) + 1))
+
+    def _heavy_sums(self, rows: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the heavy terms of a query give to the cosines of rows, in doubles."""
+        q = np.zeros(len(self._product))
+        q[columns] = weights
+        at, n = _spans(self._cells_of[rows], self._cells_of[rows + 1])
+        return np.bincount(np.repeat(np.arange(len(rows)), n), q[self.cells[1][at]] * self.values[at], len(rows))
 
     def nearest(self, counts: Counts, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k best examples, exact; ties go to the smaller row."""
@@ -202,7 +230,7 @@ class Index:
         for start in range(0, len(queries), BATCH):
             vectors = [self.weigh(c) for c in queries[start : start + BATCH]]
             some = [i for i, (t, _) in enumerate(vectors) if len(t) and len(self.ids)]
-            q = np.zeros((len(some), self.heavy.shape[1]), np.float32)
+            q = np.zeros((len(some), len(self._product)), np.float32)
             for row, i in enumerate(some):
                 c = self.column[vectors[i][0]]
                 q[row, c[c >= 0]] = vectors[i][1][c >= 0]
@@ -241,12 +269,12 @@ class Index:
         own = np.flatnonzero(visited)
         whole = by_block[own] + light_sims.reshape(n_blocks, BLOCK)[own]
         a, b = np.nonzero((whole >= floor - MARGIN) & (whole > 0))
-        if len(a) > 4 * k:  # far more than needed: cut again before the exact sums
+        if len(a) > k:  # more than needed: cut again before the exact sums
             value = whole[a, b]
             near = value >= np.partition(value, len(value) - k)[len(value) - k] - MARGIN
             a, b = a[near], b[near]
         hit = own[a] * BLOCK + b
-        exact = light_sims[hit] + self.heavy[np.ix_(hit, column[column >= 0])] @ weights[column >= 0]
+        exact = light_sims[hit] + self._heavy_sums(hit, column[column >= 0], weights[column >= 0])
         hit, exact = hit[exact > 1e-12], exact[exact > 1e-12]
         best = np.lexsort((hit, -np.round(exact, 12)))[:k]
         return hit[best], exact[best]
@@ -320,7 +348,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, beta = {t: i for i, t in enumerate(model.terms)}, np.array(model.beta)
-        for batch in common.slices(batches, text_col):
+        for batch in common.slices(batches, text_col, SLICE):
             p, why = [model.prior] * batch.num_rows, [[]] * batch.num_rows
             if model.index is not None:
                 why = []

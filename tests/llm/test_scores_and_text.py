@@ -1,4 +1,5 @@
 import json
+import pickle
 import random
 
 import numpy as np
@@ -77,6 +78,23 @@ def test_block_max_is_exact(heavy):
     assert index.nearest((np.zeros(0, np.int32), np.zeros(0, np.int32)))[0].size == 0
 
 
+@pytest.mark.parametrize("heavy", [0.0, 0.01, 1.0])
+def test_index_is_small_where_it_is_used(heavy):
+    """A task's copy of an index gives the same neighbours, arrives in fewer bytes than its arrays have and makes no matrix of doubles."""
+    rnd = random.Random(9)
+    vectors = [(np.array(sorted(rnd.sample(range(500), 20)), np.int32), np.array([rnd.randint(1, 3) for _ in range(20)], np.int32)) for _ in range(600)]
+    index = toxicity.Index.build(vectors, [rnd.randrange(2) for _ in vectors], list(range(600)), np.array([rnd.uniform(1, 5) for _ in range(500)]), heavy)
+    data = pickle.dumps(index)
+    copy = pickle.loads(data)
+    arrays = {k: getattr(index, k) for k in index.__dataclass_fields__}
+    assert all(np.array_equal(v, getattr(copy, k)) and v.dtype == getattr(copy, k).dtype for k, v in arrays.items())
+    assert len(data) < 0.75 * sum(v.nbytes for v in arrays.values())
+    for (r, s, _), (rows, sims, _) in zip(index.nearest_of(vectors[:50]), copy.nearest_of(vectors[:50])):
+        assert r.tolist() == rows.tolist() and s.tolist() == sims.tolist()
+    assert max(v.nbytes for v in vars(copy).values() if isinstance(v, np.ndarray) and v.ndim == 2 and v.dtype != np.int32) <= 4 * 500 * 600
+    assert pickle.loads(pickle.dumps(toxicity.Index.build([], [], [], np.zeros(3)))).entries.tolist() == [0, 0, 0, 0]
+
+
 def test_every_example_is_indexed_over_all_terms(spark):
     """An exact copy of a labelled toxic example of rare words finds it, though no term of it is over-represented."""
     docs, labels = corpus(spark)
