@@ -16,6 +16,7 @@ Only vocabularies of merges with identity normalisation are taken; anything else
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -138,37 +139,24 @@ class Vocabulary:
 
     def path(self, text: str) -> list[str]:
         """The one path through text that starts and ends where all paths meet: longest pieces first, and back where none fits."""
-        end, ids, prefixes, known, fits = len(text), self.ids, self.prefixes, self._fits.get, self.fits
-
-        def ends(i: int) -> list[int]:
-            out = [i + 1]
-            for j in range(i + 2, min(end, i + self.longest) + 1):
-                t = text[i:j]
-                if t in ids:
-                    out.append(j)
-                elif t not in prefixes:
-                    break
-            return out
-
+        end, ids, longest, known, fits = len(text), self.ids, self.longest, self._fits.get, self.fits
         out: list[str] = []
         dead: set[tuple[int, str]] = set()
-        i, last, open_ = 0, None, [ends(0)]
+        i, j, last = 0, min(len(text), self.longest), None
         while i < end:
-            options = open_[-1]
-            while options:
-                j = options.pop()
+            while j > i:  # the longest piece that fits, a character at least
                 t = text[i:j]
-                ok = known((last, t))
-                if (fits(last, t) if ok is None else ok) and (not dead or (j, t) not in dead):
-                    out.append(t)
-                    i, last = j, t
-                    open_.append(ends(i) if i < end else [])
-                    break
-            else:
-                open_.pop()
+                if t in ids or j == i + 1:
+                    ok = known((last, t))
+                    if (fits(last, t) if ok is None else ok) and (not dead or (j, t) not in dead):
+                        out.append(t)
+                        i, j, last = j, min(end, j + longest), t
+                        break
+                j -= 1
+            else:  # none: a shorter one than the last
                 t = out.pop()
                 dead.add((i, t))
-                i -= len(t)
+                i, j = i - len(t), i - 1
                 last = out[-1] if out else None
         return out
 
@@ -193,16 +181,20 @@ class Vocabulary:
     def segments(self, text: str) -> bytes:
         """Ids (little-endian 32-bit) of text that starts and ends where no piece crosses; segments are kept in two generations."""
         parts = self.segment.findall(text)
-        out = []
-        for s in parts:
-            if (got := self._new.get(s)) is None:
-                if (got := self._old.get(s)) is None:
-                    got = np.array(self.to_ids(self.path(s)), "<i4").tobytes()
-                if len(s) < 64:
-                    if len(self._new) >= KEPT:
-                        self._old, self._new = self._new, {}
-                    self._new[s] = got
-            out.append(got)
+        out = list(map(self._new.get, parts))
+        if None in out:
+            for k, s in enumerate(parts):
+                if out[k] is not None:
+                    continue
+                if (got := self._new.get(s)) is None:
+                    if (got := self._old.get(s)) is None:
+                        ids = self.to_ids(self.path(s))
+                        got = struct.pack(f"<{len(ids)}i", *ids)
+                    if len(s) < 64:
+                        if len(self._new) >= KEPT:
+                            self._old, self._new = self._new, {}
+                        self._new[s] = got
+                out[k] = got
         return b"".join(out)
 
     def lay(self, text: str) -> str:

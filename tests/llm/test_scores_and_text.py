@@ -1,6 +1,8 @@
 import json
 import pickle
 import random
+import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +158,25 @@ def test_sentencepieces_match_the_library(spark):
     assert sentencepieces.encode(docs.limit(0), path).count() == 0
 
 
+def test_a_path_is_found_with_few_calls():
+    """New words are most of the work: their paths equal the library's, at less than nine calls a piece once neighbours are known."""
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    v, sp = sentencepieces.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("eeeaattoinshr") for _ in range(rnd.randint(1, 14))) for _ in range(2000)] + ["the" * 60, "naïve", "日本語", "a" * 25]
+    pieces = [v.path(v.lay(t)) for t in texts]
+    assert [v.to_ids(p) for p in pieces] == [sp.encode(t) for t in texts]
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        again = [v.path("▁" + t) for t in texts]
+    finally:
+        sys.setprofile(None)
+    assert again == pieces and calls["call"] + calls["c_call"] < 9 * sum(map(len, pieces))
+
+
 def test_products_are_associative():
     rng = np.random.default_rng(1)
     a, b, c = (np.where(rng.random((4, 4)) < 0.5, 0.0, -np.inf) for _ in range(3))
