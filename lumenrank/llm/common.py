@@ -42,7 +42,9 @@ def release() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that ``column`` holds about ``limit`` bytes in each, or one row if that is longer. After the last, freed memory is given back."""
+    """Cuts batches so that ``column`` holds about ``limit`` bytes in each, or one row if that is longer. Freed memory is given back before the first, when
+    what the worker's last task held is gone at last, and after the last."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue

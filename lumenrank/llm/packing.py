@@ -47,6 +47,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
                     seen[n] += 1
             cols, types = zip(*rows), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[f.split()[0] for f in PIECES.split(", ")])
+        del tokenizer  # with its words; the slices were given back before
+        common.release()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return common.materialize(source.mapInArrow(run, PIECES), "pieces")

@@ -68,7 +68,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int,
             chosen.append((r["k"]["i"], r["y"], r["m"]["h"]))
     if not chosen:
         return [], (counts.get(0, 0), counts.get(1, 0))
-    table = docs.sparkSession.createDataFrame(chosen, "i long, y int, h string")
+    # From Arrow, as a table of the plan: rows of a list would start a second family of Python workers beside the first on every executor.
+    i, y, h = zip(*chosen)
+    table = docs.sparkSession.createDataFrame(pa.table({"i": pa.array(i, pa.int64()), "y": pa.array(y, pa.int32()), "h": pa.array(h, pa.string())}))
     found = rows.drop("y").join(F.broadcast(table), ["i", "h"]).select("i", "y", "t").distinct().collect()
     place = {(i, y): n for n, (i, y, _) in enumerate(chosen)}
     found.sort(key=lambda r: place[r["i"], r["y"]])

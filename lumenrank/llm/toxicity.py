@@ -180,7 +180,7 @@ class Index:
         return np.searchsorted(terms[head], np.arange(n_terms + 1)), block[head], most, np.concatenate([head, [len(rows)]])
 
     def __getstate__(self) -> dict:
-        """For tasks: no entries, which postings give again, and numbers as short as they may be. A worker keeps these bytes beside the index."""
+        """For tasks: no entries, which postings give again, and numbers as short as they may be."""
         short = np.min_scalar_type(max(self.cells.max(initial=0), len(self.ids)))
         per_term, per_row = np.diff(self.postings[self.entries]), np.diff(self._cells_of)
         return {"idf": self.idf, "labels": self.labels, "ids": self.ids, "column": self.column, "weights": self.weights, "values": self.values} | {
@@ -345,8 +345,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     """``docs`` with the calibrated probability of label 1, and, if asked, its heaviest terms and nearest examples (id, cosine, label)."""
     kept = docs.drop(out_col, *(["evidence"] if evidence else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{out_col}` double" + ", evidence array<string>" * evidence
+    # A closure's bytes would stay in the worker beside the index that is made of them; a broadcast is read from its file, once for a worker's tasks.
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         ids, beta = {t: i for i, t in enumerate(model.terms)}, np.array(model.beta)
         for batch in common.slices(batches, text_col, SLICE):
             p, why = [model.prior] * batch.num_rows, [[]] * batch.num_rows

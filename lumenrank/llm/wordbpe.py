@@ -16,7 +16,7 @@ import numpy as np
 import regex
 import tiktoken
 
-#: Words kept a process, in two generations.
+#: Words that a tokenizer keeps, in two generations.
 KEPT = 400_000
 #: Fixed value: how this kind of vocabulary splits words.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -77,11 +77,6 @@ class WordTokenizer:
         return [np.array(self._plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def load(path: str) -> WordTokenizer:
-    """One tokenizer a process and vocabulary."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+    """A tokenizer without words yet. The process keeps none: Python workers outlive their task and would hold its words beside later stages."""
+    return WordTokenizer(path)

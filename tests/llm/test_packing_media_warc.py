@@ -1,4 +1,5 @@
 import base64
+import gc
 import gzip
 import hashlib
 import io
@@ -8,6 +9,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenrank.llm import media, packing, warc, wordbpe
@@ -47,6 +49,18 @@ def test_plan_fills_exactly_where_it_can():
         assert used == h
 
 
+def test_workers_keep_no_tokenizer(spark):
+    """Workers wait for later tasks: a tokenizer with its words would stay in each of them beside later stages."""
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "WordTokenizer" for x in gc.get_objects())])], names=["n"])
+
+    packing.pieces(docs(spark, ODD * 4).repartition(4), vocabulary("word_bpe_49k.json"))
+    assert {r["n"] for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_pack(spark):
     from tokenizers import Tokenizer
 

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from lumenrank.llm import common, quality, sentencepieces, toolcalls, toxicity
 from lumenrank.llm.queries import vocabulary
@@ -97,6 +98,30 @@ def test_index_is_small_where_it_is_used(heavy):
     assert pickle.loads(pickle.dumps(toxicity.Index.build([], [], [], np.zeros(3)))).entries.tolist() == [0, 0, 0, 0]
 
 
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_fitting_starts_no_python_rows(spark, monkeypatch, module):
+    """Rows of Python lists run in Python workers of a family of their own, which stay beside those of the operators."""
+    docs, labels = corpus(spark)
+
+    def refuse(*_, **__):
+        raise AssertionError("rows of a list")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert module.score(docs, module.fit(docs, labels)).count() == docs.count()
+
+
+def test_scoring_closure_leaves_the_model_out(spark, monkeypatch):
+    """A worker holds the bytes of a closure beside what they become, so the model comes by broadcast."""
+    docs, labels = corpus(spark)
+    model, kept = toxicity.fit(docs, labels), []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, fn, *a, **b: kept.append(fn) or real(self, fn, *a, **b))
+    scored = toxicity.score(docs, model)
+    whole = len(cloudpickle.dumps(model))
+    assert whole > 100_000 and len(cloudpickle.dumps(kept[0])) < whole / 20
+    assert scored.count() == docs.count()
+
+
 def test_every_example_is_indexed_over_all_terms(spark):
     """An exact copy of a labelled toxic example of rare words finds it, though no term of it is over-represented."""
     docs, labels = corpus(spark)
