@@ -155,11 +155,24 @@ def extra_logging(found: Evaluated) -> Column:
     return F.when(F.size(merged) > 0, merged)
 
 
+def _few(corpus: Corpus, limit: int) -> Corpus:
+    """The corpus if it has no more than ``limit`` documents, with its index if that is there already; else one of so many: whole partitions in their order
+    and the first rows of the next. No task gathers the rows of others, as ``DataFrame.limit`` does; only a count for each partition comes to the driver."""
+    counts = corpus.df.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()
+    for p, n in counts:
+        if n > limit:
+            place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+            some = corpus.df.where((F.spark_partition_id() < p) | (F.spark_partition_id() == p) & (place < limit))
+            return Corpus(some, corpus.id_col, corpus.analyzers)
+        limit -= n
+    return Corpus(corpus.df, corpus.id_col, corpus.analyzers, corpus.index)
+
+
 def validate(corpus: Corpus, params: dict, feature=None, featureset: FeatureSet | None = None, model: models.Model | None = None, limit: int = 1000, size: int = 20) -> DataFrame:
     """Runs an element once over at most ``limit`` documents; errors of building or running it come out here."""
     if sum(x is not None for x in (feature, featureset, model)) != 1:
         raise ValueError("one of feature, featureset and model must be set")
-    few = Corpus(corpus.df.limit(limit), corpus.id_col, corpus.analyzers)
+    few = _few(corpus, limit)
     if feature is not None and feature.template_language == "derived_expression":
         return few.df.select(F.lit(0).cast("long").alias("qid"), corpus.id_col, F.lit(1.0).alias("score")).limit(size)
     features = FeatureSet("validated", (feature,)) if feature is not None else featureset

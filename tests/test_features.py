@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lumenrank.operators import metrics, models, ranking
 from lumenrank.operators.features import Feature, FeatureSet, evaluate, register_script
 from lumenrank.sources.corpus import Corpus
+from lumenrank.sources.folder import shared_dir
 from lumenrank.sources.training import read_svmrank, training_set, write_svmrank
 
 M = {"match": {"field1": "{{query}}"}}
@@ -154,6 +155,19 @@ def test_validate(corpus):
         ranking.validate(corpus, {}, feature=f)
 
 
+def test_validation_gathers_no_documents(spark):
+    """A limit that cuts nothing or something moves no documents to one task; it is met exactly."""
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('cow ', id) AS text").repartition(4, "doc_id")
+    docs.write.mode("overwrite").parquet(path := f"{shared_dir(spark)}/few")
+    few = Corpus(spark.read.parquet(path), "doc_id", ["text"])
+    feature = Feature("f", ("keywords",), "mustache", {"match": {"text": "{{keywords}}"}})
+    for limit, rows in ((10**9, 50), (50, 50), (49, 49), (17, 17), (1, 1), (0, 0)):
+        found = ranking.validate(few, {"keywords": "cow"}, feature=feature, limit=limit, size=100)
+        assert "GlobalLimit" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert found.count() == rows
+    assert [r["doc_id"] for r in ranking.validate(few, {"keywords": "cow"}, feature=feature, limit=50, size=20).orderBy("doc_id").collect()] == list(range(20))
+
+
 def test_stream_of_queries(spark, corpus, tmp_path):
     from lumenrank.streaming.scoring import score_stream
 
