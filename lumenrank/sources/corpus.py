@@ -1,8 +1,9 @@
 """Documents, their statistics, and an inverted index of them.
 
 An index is a folder of three Parquet tables. ``postings`` has a row for each term of each document, with what scoring needs of its places, so that
-the places themselves are read by phrases only; ``terms`` has each term's statistics, ``fields`` each field's. Postings and terms lie in folders by
-field and by a bucket of the term's hash, sorted by term: a query opens the folders of its own terms and skips row groups by their bounds.
+the places themselves are read by phrases only; ``terms`` has each term's statistics, ``fields`` each field's. Postings are written where the text is
+read, in segments of up to ``SLICE_TERMS`` terms that are each sorted by term, so that building moves and sorts no postings between tasks, and a query
+skips the pages that have none of its terms. Terms lie in folders by field and by a bucket of the term's hash, sorted by term.
 A corpus without an index answers the same by scanning its text.
 """
 
@@ -13,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,12 @@ from pyspark.sql import functions as F
 
 from ..functions import analysis
 
-#: Terms that a Python worker takes at a time, or one document if that has more.
+#: Terms that a Python worker takes at a time, or one document if that has more; those of a segment of the index.
 SLICE_TERMS = 1 << 20
-#: Up to this many asked terms are written into the filters of a scan; more are joined.
-MAX_LISTED = 2000
+#: Rows of a page of the postings, which are read or skipped together.
+PAGE_ROWS = 4000
+#: Up to this many asked terms are written into the filters of a scan; more are joined. A scan looks up lists of up to so many values in pages' bounds.
+MAX_LISTED, LISTED_AT_ONCE = 2000, 10
 POSTING = "term string, tf int, n int, lo int, hi int, total long, dev double, positions array<int>"
 
 
@@ -54,37 +58,44 @@ class FieldStats:
         return math.log(1 + (self.doc_count - self.df(term) + 0.5) / (self.df(term) + 0.5))
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    ends = np.cumsum(pc.list_value_length(batch.column("t")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Ids and terms of documents (id, t), so many terms at a time. t is a list of terms, or these joined by blanks, which Spark hands over faster."""
+    lists = batch.column("t")
+    if not pa.types.is_list(lists.type):
+        batch = batch.filter(pc.not_equal(lists, ""))
+        lists = pc.split_pattern(batch.column("t"), " ")
+    ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     start, done = 0, 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(ends, done + SLICE_TERMS, side="right")))
-        yield batch.slice(start, end - start)
+        yield batch.column("id").slice(start, end - start), lists.slice(start, end - start)
         start, done = end, int(ends[end - 1])
 
 
-def _postings(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows (id, term, ...) of documents (id, t): terms of a document are sorted by number, and runs of equal ones become rows."""
-    lists = batch.column("t")
+def _postings(ids: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+    """Rows (id, term, ...) by term and document: places are sorted by the rank of their term, and runs of one document become rows."""
     n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    doc = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n) + 1
-    key = doc * max(1, len(coded.dictionary)) + code
-    order = np.argsort(key, kind="stable")
-    key, place = key[order], place[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    tf = np.diff(np.r_[first, len(key)])
-    total = np.add.reduceat(place, first) if len(first) else np.zeros(0, np.int64)
+    ranked = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(ranked), np.int64)
+    rank[ranked.to_numpy(zero_copy_only=False)] = np.arange(len(ranked))
+    count = int(n.sum())
+    bits = count.bit_length()
+    key = np.sort(rank[coded.indices.to_numpy(zero_copy_only=False)] << bits | np.arange(count))  # of one term by place, and so by document
+    at = key & ((1 << bits) - 1)
+    term, doc = key >> bits, np.repeat(np.arange(len(n)), n)[at]
+    place = at - (np.cumsum(n) - n)[doc] + 1
+    first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])]) if count else np.zeros(0, np.int64)
+    tf = np.diff(np.r_[first, count])
+    total = np.add.reduceat(place, first) if count else np.zeros(0, np.int64)
     off = (place - np.repeat(total / tf, tf)) ** 2
-    dev = np.sqrt(np.add.reduceat(off, first) / tf) if len(first) else np.zeros(0)
-    at = order[first]
+    dev = np.sqrt(np.add.reduceat(off, first) / tf) if count else np.zeros(0)
+    doc = doc[first]
     return pa.RecordBatch.from_arrays(
         [
-            batch.column("id").take(pa.array(doc[at])), coded.dictionary.take(pa.array(code[at])), pa.array(tf, pa.int32()), pa.array(n[doc[at]], pa.int32()),
+            ids.take(pa.array(doc)), coded.dictionary.take(ranked.take(pa.array(term[first]))), pa.array(tf, pa.int32()), pa.array(n[doc], pa.int32()),
             pa.array(place[first], pa.int32()), pa.array(place[first + tf - 1], pa.int32()), pa.array(total, pa.int64()), pa.array(dev, pa.float64()),
-            pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)], pa.int32()), pa.array(place, pa.int32())),
+            pa.ListArray.from_arrays(pa.array(np.r_[first, count], pa.int32()), pa.array(place, pa.int32())),
         ],
         names=["doc_id", "term", "tf", "n", "lo", "hi", "total", "dev", "positions"],
     )
@@ -103,7 +114,7 @@ class Corpus:
         if index:
             spark = df.sparkSession
             key = f"doc_id {self.types[id_col]}"
-            self._index = spark.read.schema(f"{key}, {POSTING}, field string, bucket int").parquet(f"{index}/postings")
+            self._index = spark.read.schema(f"{key}, {POSTING}, field string").parquet(f"{index}/postings")
             self._terms = spark.read.schema("term string, df long, ttf long, field string, bucket int").parquet(f"{index}/terms")
             meta = spark.read.schema("field string, analyzer string, doc_count long, total_terms long, buckets int").parquet(f"{index}/fields").collect()  # a row a field
             self._fields = {r["field"]: r for r in meta}
@@ -113,25 +124,24 @@ class Corpus:
     def build(self, path: str, buckets: int = 16) -> Corpus:
         """Writes an index and returns the corpus with it. Text is read once.
 
-        A document's terms are counted where it is read, so each posting is shuffled once. A bucket is dealt to several tasks by document
-        (as many as there are shuffle partitions a bucket), so that the postings of one frequent term are not the work of one task.
+        A document's postings are made and written where it is read, so none is shuffled; ``buckets`` are those of the table of terms.
         A source of fewer splits than the session has cores is dealt anew first, so that all of them read terms.
         """
         spark, df = self.df.sparkSession, self.df
         if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
             df = df.select(self.id_col, *self.analyzers).repartition(spark.sparkContext.defaultParallelism)
         dealt = Corpus(df, self.id_col, self.analyzers)
-        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+        schema = f"doc_id {self.types[self.id_col]}, {POSTING}, field string"
+        for f in self.analyzers:
+            dealt.postings(f).write.option("parquet.page.row.count.limit", PAGE_ROWS).mode("overwrite").parquet(f"{path}/postings/field={quote(f, safe='')}")
+        kept = spark.read.schema(schema).parquet(f"{path}/postings").where(F.col("field").isin(list(self.analyzers)))
         bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
-        rows = reduce(DataFrame.unionByName, [dealt.postings(f).withColumn("field", F.lit(f)) for f in self.analyzers])
-        rows = rows.withColumn("bucket", bucket).repartition(buckets * parts, "field", "bucket", F.pmod(F.hash("doc_id"), F.lit(parts)))
-        rows.sortWithinPartitions("field", "bucket", "term", "doc_id").write.partitionBy("field", "bucket").mode("overwrite").parquet(f"{path}/postings")
-        kept = spark.read.schema(rows.schema).parquet(f"{path}/postings")
-        terms = kept.groupBy("field", "bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf"))
+        terms = kept.groupBy("field", bucket.alias("bucket"), "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf"), F.count(F.when(F.col("lo") == 1, 1)).alias("firsts"))
         terms.repartition("field", "bucket").sortWithinPartitions("field", "bucket", "term").write.partitionBy("field", "bucket").mode("overwrite").parquet(f"{path}/terms")
         # One term of each document that has any stands at its first place.
-        found = kept.groupBy("field").agg(F.count(F.when(F.col("lo") == 1, 1)).alias("doc_count"), F.sum("tf").alias("total_terms"))
-        names = spark.createDataFrame([(f, a) for f, a in self.analyzers.items()], "field string, analyzer string")
+        counted = spark.read.schema("ttf long, firsts long, field string, bucket int").parquet(f"{path}/terms")
+        found = counted.groupBy("field").agg(F.sum("firsts").alias("doc_count"), F.sum("ttf").alias("total_terms"))
+        names = spark.createDataFrame(pa.table({"field": pa.array([*self.analyzers], pa.string()), "analyzer": pa.array([*self.analyzers.values()], pa.string())}))
         meta = names.join(found, "field", "left").select("field", "analyzer", F.coalesce("doc_count", F.lit(0)).alias("doc_count"), F.coalesce("total_terms", F.lit(0)).alias("total_terms"), F.lit(buckets).alias("buckets"))
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
         return Corpus(self.df, self.id_col, self.analyzers, path)
@@ -147,14 +157,17 @@ class Corpus:
         return analysis.tokens(F.col(field), self.analyzers[field])
 
     def _listed(self, rows: DataFrame, name: str, terms: list[str] | None) -> DataFrame:
-        """Rows of a table of the index for a field and terms; bucket numbers make Spark open those folders only."""
+        """Rows of a table of the index for a field and terms; of the table of terms, bucket numbers make Spark open those folders only."""
         rows = rows.where(F.col("field") == name)
         if terms is None:
             return rows
         if len(terms) > MAX_LISTED:
             return rows.join(self.df.sparkSession.createDataFrame(pa.table({"term": pa.array(sorted(set(terms)), pa.string())})), "term", "left_semi")
-        buckets = sorted({zlib.crc32(t.encode()) % self._fields[name]["buckets"] for t in terms})
-        return rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
+        if "bucket" in rows.columns:
+            rows = rows.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % self._fields[name]["buckets"] for t in terms})))
+        near = sorted(set(terms))
+        lists = [F.col("term").isin(near[i : i + LISTED_AT_ONCE]) for i in range(0, len(near), LISTED_AT_ONCE)]
+        return rows.where(reduce(Column.__or__, lists) if lists else F.lit(False))
 
     def postings(self, field: str, terms: list[str] | None = None) -> DataFrame:
         """(doc_id, term, tf, n, lo, hi, total, dev, positions): times of the term, length of the document, and the first, last, sum,
@@ -164,11 +177,13 @@ class Corpus:
             return self._listed(self._index, field, terms).select(*columns)
         rows = self.df.select(F.col(self.id_col).alias("id"), self.tokens(field).alias("t"))
         if terms is None:
+            if self.analyzers[field] != "keyword":  # no other term has a blank or is empty
+                rows = rows.select("id", F.concat_ws(" ", "t").alias("t"))
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    for part in _slices(batch):
-                        yield _postings(part)
+                    for ids, lists in _slices(batch):
+                        yield _postings(ids, lists)
 
             return rows.mapInArrow(run, f"doc_id {self.types[self.id_col]}, {POSTING}")
         rows = rows.select("id", "t", F.explode(F.array_distinct(F.filter("t", lambda x: x.isin(list(terms))))).alias("term"))

@@ -134,6 +134,19 @@ def test_index_answers_as_a_scan(spark, tmp_path):
         Corpus(plain.df, "doc_id", {"text": "whitespace"}, f"file://{tmp_path}/ix")
 
 
+def test_postings_stay_where_their_text_is_read(spark, tmp_path):
+    """Building deals no postings to other tasks: a document's lie in one file, and those of each segment by term; many asked terms are all found."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('cow w', id, ' x', id % 7, ' the cow') AS text").repartition(8)
+    built = Corpus(docs, "doc_id", ["text"]).build(f"file://{tmp_path}/ix")
+    files = built._index.selectExpr("input_file_name() AS f", "doc_id", "term").collect()
+    assert len({(r["f"], r["doc_id"]) for r in files}) == 40 and len(files) == 40 * 4 and len({r["f"] for r in files}) > 1
+    for f in {r["f"] for r in files}:
+        terms = [r["term"] for r in files if r["f"] == f]
+        assert sum(a > b for a, b in zip(terms, terms[1:])) < len({r["doc_id"] for r in files if r["f"] == f})
+    many = [f"w{i}" for i in range(40)] + ["cow", "nowhere"]
+    assert built.postings("text", many).count() == 80 and built.stats({"text": set(many)})["text"].df("cow") == 40
+
+
 def test_postings(corpus):
     some = {(r["doc_id"], r["term"]): (r["tf"], list(r["positions"])) for r in corpus.postings("text", ["dance", "cow"]).collect()}
     every = {(r["doc_id"], r["term"]): (r["tf"], list(r["positions"])) for r in corpus.postings("text").collect()}
