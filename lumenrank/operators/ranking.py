@@ -165,7 +165,7 @@ def _few(corpus: Corpus, limit: int) -> Corpus:
             some = corpus.df.where((F.spark_partition_id() < p) | (F.spark_partition_id() == p) & (place < limit))
             return Corpus(some, corpus.id_col, corpus.analyzers)
         limit -= n
-    return Corpus(corpus.df, corpus.id_col, corpus.analyzers, corpus.index)
+    return Corpus(corpus.df, corpus.id_col, corpus.analyzers, corpus.built)
 
 
 def validate(corpus: Corpus, params: dict, feature=None, featureset: FeatureSet | None = None, model: models.Model | None = None, limit: int = 1000, size: int = 20) -> DataFrame:

@@ -31,13 +31,17 @@ _indexes: dict[tuple[str, str], str] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The documents with an index, which a session builds once, in the shared folder, and all its queries read."""
+    """The documents with an index, which a session builds once, in the shared folder, when the first query asks for terms; all its queries read it."""
     docs, key = spark.read.parquet(f"{sf_dir}/documents.parquet"), (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
-        path = new_path(spark, "index")
-        Corpus(docs, "doc_id", ["text"]).build(path)
-        _indexes[key] = path
-    return Corpus(docs, "doc_id", ["text"], _indexes[key])
+
+    def index() -> str:
+        if key not in _indexes:
+            path = new_path(spark, "index")
+            Corpus(docs, "doc_id", ["text"]).build(path)
+            _indexes[key] = path
+        return _indexes[key]
+
+    return Corpus(docs, "doc_id", ["text"], _indexes.get(key, index))
 
 
 def _match(q: int) -> dict:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import quote
@@ -102,24 +102,39 @@ def _postings(ids: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
 
 
 class Corpus:
-    """A DataFrame with an id, which no two documents share, and analyzed text fields. Statistics are always those of the whole corpus."""
+    """A DataFrame with an id, which no two documents share, and analyzed text fields. Statistics are always those of the whole corpus.
 
-    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_fields: dict[str, str] | list[str] = ("text",), index: str | None = None):
-        self.df, self.id_col, self.index = df, id_col, index
+    ``index`` is the folder of an index, or a function that makes one and is called when postings or statistics are first asked for.
+    """
+
+    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_fields: dict[str, str] | list[str] = ("text",), index: str | Callable[[], str] | None = None):
+        self.df, self.id_col = df, id_col
         self.analyzers = dict(text_fields) if isinstance(text_fields, dict) else dict.fromkeys(text_fields, "standard")
         self.types = dict(df.dtypes)
         for name in (id_col, *self.analyzers):
             if name not in self.types:
                 raise ValueError(f"no column [{name}]")
-        if index:
-            spark = df.sparkSession
-            key = f"doc_id {self.types[id_col]}"
-            self._index = spark.read.schema(f"{key}, {POSTING}, field string").parquet(f"{index}/postings")
-            self._terms = spark.read.schema("term string, df long, ttf long, field string, bucket int").parquet(f"{index}/terms")
-            meta = spark.read.schema("field string, analyzer string, doc_count long, total_terms long, buckets int").parquet(f"{index}/fields").collect()  # a row a field
-            self._fields = {r["field"]: r for r in meta}
-            if any(self._fields[f]["analyzer"] != a for f, a in self.analyzers.items() if f in self._fields) or set(self.analyzers) - set(self._fields):
-                raise ValueError(f"the index at [{index}] has other fields or analyzers")
+        self._make, self.built = (index, None) if callable(index) else (None, index)
+        if self.built:
+            self._open(self.built)
+
+    @property
+    def index(self) -> str | None:
+        """The folder of the index, which is made now if it is still to be made; ``built`` is that of one that is there."""
+        if self._make:
+            self._open(path := self._make())
+            self._make, self.built = None, path
+        return self.built
+
+    def _open(self, index: str) -> None:
+        spark = self.df.sparkSession
+        key = f"doc_id {self.types[self.id_col]}"
+        self._index = spark.read.schema(f"{key}, {POSTING}, field string").parquet(f"{index}/postings")
+        self._terms = spark.read.schema("term string, df long, ttf long, field string, bucket int").parquet(f"{index}/terms")
+        meta = spark.read.schema("field string, analyzer string, doc_count long, total_terms long, buckets int").parquet(f"{index}/fields").collect()  # a row a field
+        self._fields = {r["field"]: r for r in meta}
+        if any(self._fields[f]["analyzer"] != a for f, a in self.analyzers.items() if f in self._fields) or set(self.analyzers) - set(self._fields):
+            raise ValueError(f"the index at [{index}] has other fields or analyzers")
 
     def build(self, path: str, buckets: int = 16) -> Corpus:
         """Writes an index and returns the corpus with it. Text is read once.

@@ -168,6 +168,26 @@ def test_validation_gathers_no_documents(spark):
     assert [r["doc_id"] for r in ranking.validate(few, {"keywords": "cow"}, feature=feature, limit=50, size=20).orderBy("doc_id").collect()] == list(range(20))
 
 
+def test_index_is_made_when_terms_are_asked_for(spark, tmp_path):
+    """Queries of columns only make no index; the first that needs terms makes it, once."""
+    made = []
+    docs = spark.createDataFrame([(1, "brown cow", "en"), (2, "cow", "de")], "doc_id long, text string, lang string")
+
+    def index():
+        made.append(f"file://{tmp_path}/ix{len(made)}")
+        return Corpus(docs, "doc_id", ["text"]).build(made[-1]).index
+
+    late = Corpus(docs, "doc_id", ["text"], index)
+    both = FeatureSet("s", (Feature("words", ("keywords",), "mustache", {"match": {"text": "{{keywords}}"}}), Feature("en", (), "mustache", {"term": {"lang": "en"}})))
+    scored, _ = ranking.ltr_query(late, {1: {}}, models.parse_model("m", "model/linear", {"words": 1, "en": 3}, both), active_features=["en"])
+    assert {r["doc_id"]: r["score"] for r in scored.collect()} == {1: 3.0, 2: 0.0} and not made and late.built is None
+    ranking.validate(late, {"keywords": "cow"}, featureset=both, limit=10).collect()
+    assert not made
+    for _ in range(2):
+        assert evaluate(late, {1: {"keywords": "brown"}}, both).df.where("f0 is not null").count() == 1
+    assert len(made) == 1 and late.built == made[0]
+
+
 def test_stream_of_queries(spark, corpus, tmp_path):
     from lumenrank.streaming.scoring import score_stream
 
